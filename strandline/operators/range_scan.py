@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.storage import cut_lineage
+from strandline.storage import cut_sorted
 
 PART = "__part"
 
@@ -43,7 +43,7 @@ class Scanner:
 def range_sorted(df: DataFrame, by: list[str], then: tuple[str, ...] = ()) -> DataFrame:
     """Range-partitioned by ``by``, sorted by ``by`` and ``then``, cut from its lineage, numbered in ``__part``."""
     ordered = df.repartitionByRange(*[F.col(c) for c in by]).sortWithinPartitions(*by, *then)
-    return cut_lineage(ordered.withColumn(PART, F.spark_partition_id()))
+    return cut_sorted(ordered.withColumn(PART, F.spark_partition_id()))
 
 
 def scan(ordered: DataFrame, scanner: Callable[..., Scanner], schema: str) -> DataFrame:
