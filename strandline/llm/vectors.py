@@ -38,12 +38,14 @@ class SearchSettings:
     projected: int = 12
     #: A leaf stays closed for a query if the chance of a nearer vector in it is below this.
     least_chance: float = 0.02
-    leaf_rows: int = 1024
+    leaf_rows: int = 512
     cell_rows: int = 4096
     max_cells: int = 4096
     #: Tracks that the tree of cells is fitted on: about this many for each cell, so at most 65,536.
     sample_per_cell: int = 16
     seed: int = 20250301
+    #: Queries that a task answers together.
+    task_rows: int = 16_384
     #: Bytes of cells that a task remembers.
     cache_bytes: int = 160 << 20
     _: tuple = field(default=(), repr=False)
@@ -290,7 +292,9 @@ class _Cell:
             self._full = []
             for r in t:
                 raw = np.frombuffer(r["vecs"], "float32").reshape(-1, self._dims)
-                self._full.append((np.frombuffer(r["keys"], "int64"), np.frombuffer(r["grps"], "int64"), raw, unit(raw).astype("float32")))
+                scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+                scaled /= np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
+                self._full.append((np.frombuffer(r["keys"], "int64"), np.frombuffer(r["grps"], "int64"), raw, scaled))
                 self.size += 2 * raw.nbytes
         return self._full[i]
 
@@ -302,7 +306,7 @@ class _Shelf:
         from pyarrow import fs
 
         self._fs, self._root = fs.FileSystem.from_uri(index.path) if "://" in index.path or index.path.startswith("file:") else (fs.LocalFileSystem(), index.path)
-        self._s, self._kept = index.settings, OrderedDict()
+        self.index, self._s, self._kept = index, index.settings, OrderedDict()
 
     def cell(self, number: int) -> _Cell:
         if number not in self._kept:
@@ -348,54 +352,90 @@ class ChiSquare:
         return self._table[(gap > 0).sum(2), np.minimum(square * self.STEP, self.MOST - 1).astype("int64")]
 
 
-def _search_leaf(shelf: _Shelf, index: Index, test: ChiSquare, matrix: np.ndarray, cell: int, leaf: int):
-    """Keys, neighbours' keys and cosines of all queries of a leaf, at most k each, sorted by query."""
-    s = index.settings
-    own = shelf.cell(cell)
-    keys, groups, raw, units = own.vectors(int(np.searchsorted(own.leaf, leaf)))
-    y, n = units @ matrix, len(keys)
-    least = s.least_cosine - 1e-6
-    bound = np.full(n, np.float32(least - 1e-6))
-    best = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
-    box = test.chance(y.min(0)[None], y.max(0)[None], index.low, index.high, np.array([2 - 2 * least]))[0]
-    order = [int(c) for c in index.cells[np.argsort(-box, kind="stable")] if c != cell]
-    chance_of = dict(zip(index.cells.tolist(), box.tolist(), strict=True))
-    raw64 = raw.astype("float64")
-    norm = np.linalg.norm(raw64, axis=1)
-    for number in [cell, *order]:
-        if number != cell and chance_of[number] < s.least_chance:
-            break
-        other = shelf.cell(number)
-        near = np.flatnonzero(test.chance(y.min(0)[None], y.max(0)[None], other.low, other.high, np.array([2 - 2 * bound.min()]))[0] >= s.least_chance)
-        if not len(near):
-            continue
-        open_ = test.chance(y, y, other.low[near], other.high[near], 2 - 2 * bound) >= s.least_chance
-        found = [best]
-        for j in np.flatnonzero(open_.any(0)):
-            q = np.flatnonzero(open_[:, j])
-            k2, g2, raw2, units2 = other.vectors(int(near[j]))
-            near_enough = np.flatnonzero((units[q] @ units2.T >= bound[q][:, None]).ravel())
-            if not len(near_enough):
-                continue
-            qi, ci = q[near_enough // len(k2)], near_enough % len(k2)
-            fits = groups[qi] != g2[ci]
-            qi, ci = qi[fits], ci[fits]
-            if not len(qi):
-                continue
-            b = raw2[ci].astype("float64")
-            cosine = np.round(np.einsum("ij,ij->i", raw64[qi], b) / (norm[qi] * np.linalg.norm(b, axis=1)), 6)
-            ok = cosine >= s.least_cosine
-            found.append([qi[ok], k2[ci[ok]], cosine[ok]])
-        if len(found) > 1:
-            qi, k2, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            o = np.lexsort((k2, -c, qi))
-            qi, k2, c = qi[o], k2[o], c[o]
-            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            best = [x[place < s.k] for x in (qi, k2, c)]
-            full = np.flatnonzero(place == s.k - 1)
-            # an equal cosine of a smaller key still counts, and single precision is a little off
-            bound[qi[full]] = np.maximum(bound[qi[full]], (c[full] - 2e-6).astype("float32"))
-    return keys[best[0]], groups[best[0]], best[1], best[2]
+class _Search:
+    """All queries of a task at once: cell by cell, those that a cell may still help."""
+
+    def __init__(self, shelf: _Shelf, leaves: list[tuple[int, int]]):
+        self.index, self.shelf = shelf.index, shelf
+        s, m = self.index.settings, self.index.settings.projected
+        self.test, self.own = ChiSquare(m), list(dict.fromkeys(c for c, _ in leaves))
+        parts = []
+        for number, leaf in leaves:
+            cell = shelf.cell(number)
+            parts.append(cell.vectors(int(np.searchsorted(cell.leaf, leaf))))
+        self.keys, self.groups, self.raw, self.units = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.y = self.units @ s.matrix()
+        self.leaf = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+        first = np.flatnonzero(np.append(True, self.leaf[1:] != self.leaf[:-1]))
+        self.low, self.high = np.minimum.reduceat(self.y, first), np.maximum.reduceat(self.y, first)
+        self.least = s.least_cosine - 1e-6
+        self.bound = np.full(len(self.keys), np.float32(self.least - 1e-6))
+        self.best = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+
+    def run(self):
+        """Keys, groups, neighbours' keys and cosines, at most k to a query, sorted by query."""
+        cells, cut = self.index.cells, self.index.settings.least_chance
+        wide = np.full(len(self.low), 2 - 2 * self.least)
+        box = self.test.chance(self.low, self.high, self.index.low, self.index.high, wide)
+        most = dict(zip(cells.tolist(), box.max(0).tolist(), strict=True))
+        place = {int(c): i for i, c in enumerate(cells)}
+        rest = sorted((c for c in most if c not in set(self.own) and most[c] >= cut), key=lambda c: (-most[c], c))
+        for number in [*self.own, *rest]:
+            i = place[number]
+            rows = np.flatnonzero((box[:, i] >= cut)[self.leaf])
+            rows = rows[self._open(rows, self.index.low[i : i + 1], self.index.high[i : i + 1])[:, 0]]
+            if len(rows):
+                self._visit(number, rows)
+        return self.keys[self.best[0]], self.groups[self.best[0]], self.best[1], self.best[2]
+
+    def _open(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.test.chance(self.y[rows], self.y[rows], low, high, 2 - 2 * self.bound[rows]) >= self.index.settings.least_chance
+
+    def _visit(self, number: int, rows: np.ndarray) -> None:
+        s, cell = self.index.settings, self.shelf.cell(number)
+        wanted, found = self._open(rows, cell.low, cell.high), []
+        for j in np.flatnonzero(wanted.any(0)):
+            q = rows[wanted[:, j]]
+            keys, groups, raw, units = cell.vectors(int(j))
+            for part in np.array_split(q, -(-len(q) // 2048)):
+                near = np.flatnonzero((self.units[part] @ units.T >= self.bound[part][:, None]).ravel())
+                if not len(near):
+                    continue
+                qi, ci = part[near // len(keys)], near % len(keys)
+                fits = self.groups[qi] != groups[ci]
+                qi, ci = qi[fits], ci[fits]
+                a, b = self.raw[qi].astype("float64"), raw[ci].astype("float64")
+                dot = np.einsum("ij,ij->i", a, b)
+                cosine = np.round(dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
+                ok = cosine >= s.least_cosine
+                found.append([qi[ok], keys[ci[ok]], cosine[ok]])
+        if not any(len(x[0]) for x in found):
+            return
+        touched = np.zeros(len(self.keys), bool)
+        for x in found:
+            touched[x[0]] = True
+        again = touched[self.best[0]]
+        qi, k2, c = (np.concatenate([*(x[i] for x in found), self.best[i][again]]) for i in range(3))
+        order = np.lexsort((k2, -c, qi))
+        qi, k2, c = qi[order], k2[order], c[order]
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        keep, full = place < s.k, place == s.k - 1
+        # an equal cosine of a smaller key still counts, and single precision is a little off
+        self.bound[qi[full]] = np.maximum(self.bound[qi[full]], (c[full] - 2e-6).astype("float32"))
+        merged = [np.concatenate([x[~again], y[keep]]) for x, y in zip(self.best, (qi, k2, c), strict=True)]
+        order = np.argsort(merged[0], kind="stable")
+        self.best = [x[order] for x in merged]
+
+
+#: The shelf that a worker process keeps from task to task.
+_SHELVES: dict[str, _Shelf] = {}
+
+
+def _shelf(index: Index) -> _Shelf:
+    if index.path not in _SHELVES:
+        _SHELVES.clear()
+        _SHELVES[index.path] = _Shelf(index)
+    return _SHELVES[index.path]
 
 
 def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key bigint, grp bigint, other bigint, cosine double") -> DataFrame:
@@ -403,26 +443,19 @@ def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key
 
     Equal cosines go by the smaller key. ``each`` may reduce the rows of a task (a frame in, a frame of ``schema`` out).
 
-    Plan: a task takes a range of leaves, reads cells from the shared folder when their test demands it and forgets them
-    by a bound of bytes; no vector is shuffled again.
+    Plan: a task takes a range of leaves with about ``task_rows`` queries, reads each cell from the shared folder at most
+    once, if its test demands it, and forgets cells by a bound of bytes; no vector is shuffled again.
     """
-    leaves = index.rows(spark).where("leaf >= 0").select("cell", "leaf")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, 4 * len(index.cells)))
+    leaves = index.rows(spark).where("leaf >= 0").select("cell", "leaf", "n")
+    total = leaves.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // index.settings.task_rows))
     ranged = leaves.repartitionByRange(tasks, "cell", "leaf")
 
     def search(batches):
-        shelf, test, matrix = _Shelf(index), ChiSquare(index.settings.projected), index.settings.matrix()
-        out = []
-        for rows in batches:
-            for cell, leaf in sorted(zip(rows["cell"].tolist(), rows["leaf"].tolist(), strict=True)):
-                k, g, other, cosine = _search_leaf(shelf, index, test, matrix, cell, leaf)
-                frame = pd.DataFrame({"key": k, "grp": g, "other": other, "cosine": cosine})
-                if each is None:
-                    yield frame
-                else:
-                    out.append(frame)
-        if out:
-            yield each(pd.concat(out, ignore_index=True))
+        own = sorted(x for rows in batches for x in zip(rows["cell"].tolist(), rows["leaf"].tolist(), strict=True))
+        if own:
+            frame = pd.DataFrame(dict(zip(("key", "grp", "other", "cosine"), _Search(_shelf(index), own).run(), strict=True)))
+            yield frame if each is None else each(frame)
 
     return ranged.mapInPandas(search, schema)
 
