@@ -12,10 +12,47 @@ def grid_first(df: DataFrame, *, series: str, time: str, key: str, step: int) ->
     return df.where(F.col(time).isNotNull()).groupBy(F.col(series).alias("__s"), F.floor(F.col(time) / step).alias("__cell")).agg(F.min(named).alias("r")).select("r.row.*")
 
 
-def weights(df: DataFrame, *, series: str, time: str, key: str, interval: int) -> DataFrame:
+#: Width of the time blocks that a series is cut into, so that a hot series is sorted by many tasks.
+BLOCK = 86_400_000_000
+
+
+def _carried(blocked: DataFrame, series: str, summary: Column, take, back: bool) -> DataFrame:
+    """Per (series, __b): what the blocks before (or, if not ``back``, behind) it hand over; one row per block."""
+    per = blocked.groupBy(series, "__b").agg(summary.alias("__own"))
+    frame = (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
+    return per.select(series, "__b", take(F.col("__own")).over(Window.partitionBy(series).orderBy("__b").rowsBetween(*frame)).alias("__carry"))
+
+
+def last_known(df: DataFrame, *, series: str, time: str, order: list, value: str, back: bool = True, block: int = BLOCK) -> DataFrame:
+    """Adds ``known``: the last value that isn't null at or before a row in ``order`` (or the first at or behind it).
+
+    ``value`` is a struct that sorts as its rows do. The order is resolved within blocks of time; what passes from block
+    to block is one row per block. The join with it uses the partitioning of the window.
+    """
+    blocked = df.withColumn("__b", F.floor(F.col(time) / block))
+    inner = Window.partitionBy(series, "__b").orderBy(*order)
+    own = F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first(value, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    pick = (lambda x: F.last(x, ignorenulls=True)) if back else (lambda x: F.first(x, ignorenulls=True))
+    carried = _carried(blocked, series, F.max(value) if back else F.min(value), pick, back)
+    return blocked.withColumn("__known", own).join(carried, [series, "__b"]).withColumn("known", F.coalesce("__known", "__carry")).drop("__b", "__known", "__carry")
+
+
+def running_sum(df: DataFrame, *, series: str, time: str, order: list, value: Column, name: str, inclusive: bool, block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: the sum over all earlier rows of the series (and the row itself), by blocks of time."""
+    blocked = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(time) / block))
+    inner = Window.partitionBy(series, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    carried = _carried(blocked, series, F.sum("__v"), F.sum, True)
+    zero = F.lit(0).cast("double") if dict(blocked.dtypes)["__v"] == "double" else F.lit(0).cast("bigint")
+    return blocked.withColumn("__s", F.sum("__v").over(inner)).join(carried, [series, "__b"]).withColumn(name, F.coalesce("__carry", zero) + F.coalesce("__s", zero)).drop("__v", "__b", "__s", "__carry")
+
+
+def weights(df: DataFrame, *, series: str, time: str, key: str, interval: int, block: int = BLOCK) -> DataFrame:
     """Adds ``w``: how long a row holds, up to the next row of its series but at most ``interval`` (WN12, WN13)."""
-    nxt = F.lead(time).over(Window.partitionBy(series).orderBy(time, key))
-    return df.withColumn("w", F.least(F.coalesce(nxt - F.col(time), F.lit(interval)), F.lit(interval)))
+    blocked = df.withColumn("__b", F.floor(F.col(time) / block))
+    nxt = F.lead(time).over(Window.partitionBy(series, "__b").orderBy(time, key))
+    carried = _carried(blocked, series, F.min(time), lambda x: F.first(x, ignorenulls=True), False)
+    held = blocked.withColumn("__n", nxt).join(carried, [series, "__b"])
+    return held.withColumn("w", F.least(F.coalesce(F.coalesce("__n", "__carry") - F.col(time), F.lit(interval)), F.lit(interval))).drop("__b", "__n", "__carry")
 
 
 def integral_means(points: DataFrame, windows: DataFrame, *, interval: int) -> DataFrame:
@@ -25,13 +62,11 @@ def integral_means(points: DataFrame, windows: DataFrame, *, interval: int) -> D
     by one sort of tagged rows replace the join of points with windows.
     """
     held = weights(points, series="series", time="us", key="key", interval=interval)
-    order = Window.partitionBy("series").orderBy("us", "key").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = held.withColumn("p", F.coalesce(F.sum(F.col("value") * F.col("w")).over(order), F.lit(0.0)))
-    tagged = prefix.select("series", "us", F.lit(0).alias("tag"), F.struct("us", "value", "w", "p").alias("row"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), "key")
+    prefix = running_sum(held, series="series", time="us", order=["us", "key"], value=F.col("value") * F.col("w"), name="p", inclusive=False)
+    tagged = prefix.select("series", "us", F.lit(0).alias("tag"), F.struct("us", "key", "value", "w", "p").alias("row"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), "key")
     edge = windows.select("series", F.explode(F.array("a", "b")).alias("us"), F.lit(1).alias("tag"), F.lit(None).cast(tagged.schema["row"].dataType).alias("row"), "a", "b", F.lit(None).cast("bigint").alias("key"))
     both = tagged.unionByName(edge)
-    last = F.last("row", ignorenulls=True).over(Window.partitionBy("series").orderBy("us", "tag", "key").rowsBetween(Window.unboundedPreceding, 0))
-    at = both.withColumn("l", last).where("tag = 1")
+    at = last_known(both, series="series", time="us", order=["us", "tag", "key"], value="row").withColumnRenamed("known", "l").where("tag = 1")
     value = F.coalesce(F.col("l.p") + F.col("l.value") * F.least(F.col("us") - F.col("l.us"), F.col("l.w")), F.lit(0.0))
     found = at.groupBy("series", "a", "b").agg(F.max(F.when(F.col("us") == F.col("b"), value)).alias("fb"), F.max(F.when(F.col("us") == F.col("a"), value)).alias("fa"))
     return found.select("series", "a", "b", ((F.col("fb") - F.col("fa")) / (F.col("b") - F.col("a"))).alias("mean"))
@@ -42,18 +77,18 @@ def as_of(left: DataFrame, right: DataFrame, *, direction: str, tolerance: int |
 
     ``backward`` takes the last at or before, ``forward`` the first at or after, ``nearest`` the nearer of both (the
     earlier of two). Result: ``series``, ``key``, ``us``, ``found_key``, ``found_us``; left rows without one stay, with
-    nulls. Both tables are tagged, united and sorted once per series; nothing is joined.
+    nulls. Both tables are tagged, united and sorted by blocks of time (:func:`last_known`), so a
+    hot series is no hot task.
     """
     right = right.groupBy("series", "us").agg(F.min("key").alias("key"))
     tag = lambda df, n: df.select("series", "us", "key", F.lit(n).alias("tag"), F.when(F.lit(n) == 1, F.struct("us", "key")).alias("row"))
     both = tag(left, 0).unionByName(tag(right, 1))
-    before = F.last("row", ignorenulls=True).over(Window.partitionBy("series").orderBy("us", F.desc("tag")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("row", ignorenulls=True).over(Window.partitionBy("series").orderBy("us", "tag").rowsBetween(0, Window.unboundedFollowing))
-    picked = {"backward": before, "forward": after}
-    found = both.withColumn("b", before).withColumn("f", after).where("tag = 0") if direction == "nearest" else both.withColumn("x", picked[direction]).where("tag = 0")
-    if direction == "nearest":
-        nearer = F.when(F.col("f").isNull() | (F.col("us") - F.col("b.us") <= F.col("f.us") - F.col("us")), F.col("b")).otherwise(F.col("f"))
-        found = found.withColumn("x", nearer)
+    if direction in ("backward", "nearest"):
+        both = last_known(both, series="series", time="us", order=["us", F.desc("tag")], value="row").withColumnRenamed("known", "b")
+    if direction in ("forward", "nearest"):
+        both = last_known(both, series="series", time="us", order=["us", "tag"], value="row", back=False).withColumnRenamed("known", "f")
+    nearer = F.when(F.col("f").isNull() | (F.col("us") - F.col("b.us") <= F.col("f.us") - F.col("us")), F.col("b")).otherwise(F.col("f")) if direction == "nearest" else F.col("b" if direction == "backward" else "f")
+    found = both.where("tag = 0").withColumn("x", nearer)
     if tolerance is not None:
         found = found.withColumn("x", F.when(F.abs(F.col("x.us") - F.col("us")) <= tolerance, F.col("x")))
     return found.select("series", "key", "us", F.col("x.key").alias("found_key"), F.col("x.us").alias("found_us"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.islands import islands
-from strandline.operators.series import as_of, boundary_safety, grid_first, integral_means, majority, weights
+from strandline.operators.series import as_of, boundary_safety, grid_first, integral_means, majority, running_sum, weights
 from strandline.sources.tables import intervals, observations
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -121,7 +121,8 @@ def asof_nearest_tol(spark, sf):
 
 @query("boundary_epoch", _OBS + " select event_id, count(*) filter (label = 'error') over (partition by series order by us, event_id rows unbounded preceding) as epoch from o")
 def boundary_epoch(spark, sf):
-    return observations(spark, sf).select("event_id", F.count(F.when(F.col("label") == "error", 1)).over(_w().rowsBetween(Window.unboundedPreceding, 0)).alias("epoch"))
+    hard = F.when(F.col("label") == "error", 1).otherwise(0).cast("bigint")
+    return running_sum(observations(spark, sf), series="series", time="us", order=["us", "event_id"], value=hard, name="epoch", inclusive=True).select("event_id", "epoch")
 
 
 @query("boundary_safety", _OBS + """, iv as (select series, event_id, us as s, us + floor(value * 60)::bigint * 1000000 as e from o where value >= 1 and label <> 'error'),
