@@ -41,7 +41,7 @@ class SearchSettings:
     leaf_rows: int = 512
     cell_rows: int = 4096
     max_cells: int = 4096
-    #: Tracks that the tree of cells is fitted on: about this many for each cell, so at most 65,536.
+    #: The tree of cells is fitted on about twice as many vectors for each cell, four times as many at most (262,144 in all).
     sample_per_cell: int = 16
     seed: int = 20250301
     #: Queries that a task answers together.
