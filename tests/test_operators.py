@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import maths as M
 from strandline.functions import text as X
+from strandline.operators import graph
 from strandline.operators import interval_algebra as A
 from strandline.operators import ordered as O
 from strandline.operators import relational as R
@@ -159,6 +160,19 @@ def test_recordings(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path), "*.wav").count() == 1
 
 
+def test_nested_placements(spark):
+    edges = [(0, 1, 10, 30, 5), (1, 2, 0, 100, 0), (1, 2, 8, 12, 0), (2, 3, 6, 9, 0)]
+    e = spark.createDataFrame(edges, "parent bigint, child bigint, start bigint, end bigint, source_in bigint")
+    roots = spark.createDataFrame([(0,)], "node bigint")
+    got = sorted((x.node, x.s, x.e, x.depth) for x in graph.flatten(e, roots).collect())
+    # node 1 lies at 10..30 and begins at its own 5, so its time is moved by 5
+    assert got == [(1, 10, 30, 1), (2, 10, 30, 2), (2, 13, 17, 2), (3, 11, 14, 3)]
+    assert {x.node for x in graph.unreferenced(spark.createDataFrame([(0,), (1,), (9,)], "node bigint"), e).collect()} == {0, 9}
+    loop = spark.createDataFrame([(0, 1, 0, 9, 0), (1, 2, 0, 9, 0), (2, 1, 0, 9, 0)], e.schema)
+    with pytest.raises(Exception, match="a cycle at 1"):
+        graph.flatten(loop, roots).collect()
+
+
 def test_cache_digest_and_xml(spark, tmp_path):
     at = str(tmp_path / "cache")
     assert files.read_cache(spark, at, "k string, v int").count() == 0
