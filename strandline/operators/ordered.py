@@ -162,3 +162,60 @@ def allocate(demands: DataFrame, candidates: DataFrame, *, plan: str, gap: int,
         return pd.DataFrame({plan: d[plan], "demand": d["id"], "candidate": pd.array([got.get(x) for x in d["id"]], "Int64")})
 
     return demands.groupBy(plan).cogroup(candidates.groupBy(plan)).applyInPandas(solve, f"{plan} {types[plan]}, demand bigint, candidate bigint")
+
+
+def separated(df: DataFrame, *, group: str, key: str, gap: int, most: int = 1_000_000) -> DataFrame:
+    """Best first, intervals (s, e, score) of a group that keep ``gap`` from all kept before them (SR7). Result: group, key.
+    Equal scores go by start, then key."""
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        _bounded(rows, most, "separated")
+        rows = rows.sort_values(["score", "s", key], ascending=[False, True, True])
+        taken: list[tuple[int, int]] = []
+        kept = []
+        for i, (s, e) in enumerate(zip(rows["s"].tolist(), rows["e"].tolist(), strict=True)):
+            if _free(taken, s, e, gap):
+                insort(taken, (s, e))
+                kept.append(i)
+        return rows.iloc[kept][[group, key]]
+
+    types = dict(df.dtypes)
+    return df.groupBy(group).applyInPandas(keep, f"{group} {types[group]}, {key} {types[key]}")
+
+
+def gallery(df: DataFrame, *, group: str, key: str, vector: str, novelty: float, size: int, most: int = 100_000) -> DataFrame:
+    """By key, up to ``size`` rows of a group whose cosine distance to all kept ones exceeds ``novelty`` (SR10)."""
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        _bounded(rows, most, "gallery")
+        rows = rows.sort_values(key)
+        v = np.array(rows[vector].tolist(), "float64").reshape(len(rows), -1)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        kept: list[int] = []
+        for i in range(len(v)):
+            if len(kept) < size and (1 - v[kept] @ v[i] > novelty).all():
+                kept.append(i)
+        return rows.iloc[kept][[group, key]]
+
+    types = dict(df.dtypes)
+    return df.groupBy(group).applyInPandas(keep, f"{group} {types[group]}, {key} {types[key]}")
+
+
+def first_wins(df: DataFrame, alike: DataFrame, *, key: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` by key, less those that are alike an earlier accepted one (CL8): ``alike`` has (a, b), a < b.
+
+    A rejected row doesn't block later ones, so this is a fold; only the linked rows, block by block of ``block``, are
+    folded, rows without a link pass.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        _bounded(rows, most, "first_wins")
+        gone: set = set()
+        for b, group in rows.sort_values(["b", "a"]).groupby("b", sort=True):
+            if any(a not in gone for a in group["a"]):
+                gone.add(b)
+        return pd.DataFrame({key: list(gone)})
+
+    types = dict(df.dtypes)
+    rejected = alike.groupBy("block").applyInPandas(fold, f"{key} {types[key]}")
+    return df.join(rejected, key, "left_anti")

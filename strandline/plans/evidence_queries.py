@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions import evidence as E
 from strandline.functions import maths as M
 from strandline.operators import graph
 from strandline.operators.islands import islands
@@ -167,3 +168,12 @@ def plan_errors(spark, sf):
 def least_used_pick(spark, sf):
     c = table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("used"), F.avg("p_retailprice").alias("price"))
     return c.groupBy("p_type").agg(F.min(F.struct("used", (-F.round("price", 6)).alias("price"), "p_brand")).alias("m")).select("p_type", "m.p_brand")
+
+
+@query("mouth_shape", """with x as (select distinct sample_id, mouth_clarity as o, closeup_score as w, clear_face as r, speaking * 2 - 1 as s from samples where mouth_clarity is not null and closeup_score is not null and clear_face is not null and speaking is not null)
+select sample_id, case when o < 0.12 then 'CLOSED' when s < -0.25 and o > 0.2 then 'CRY' when s > 0.35 and o > 0.18 and w > 0.45 then 'HAHA' when r > 0.55 and o > 0.22 and o < 0.75 and w < 0.7 then 'O' when w > 0.62 and o < 0.45 then 'E' when o > 0.35 then 'A' else 'NEUTRAL' end as label,
+round(case when o < 0.12 then least(1, 0.6 + (0.12 - o) * 2) when s < -0.25 and o > 0.2 then least(1, 0.55 + abs(s) * 0.4) when s > 0.35 and o > 0.18 and w > 0.45 then least(1, 0.55 + s * 0.4) when r > 0.55 and o > 0.22 and o < 0.75 and w < 0.7 then least(1, 0.5 + r * 0.4) when w > 0.62 and o < 0.45 then least(1, 0.5 + w * 0.3) when o > 0.35 then least(1, 0.5 + o * 0.4) else 0.4 end, 9) as confidence from x""")
+def mouth_shape(spark, sf):
+    x = table(spark, sf, "samples").select("sample_id", "mouth_clarity", "closeup_score", "clear_face", (F.col("speaking") * 2 - 1).alias("s")).dropna().distinct()
+    m = E.mouth(F.col("mouth_clarity"), F.col("closeup_score"), F.col("clear_face"), F.col("s"))
+    return x.select("sample_id", m.alias("m")).select("sample_id", "m.label", F.round("m.confidence", 9).alias("confidence"))

@@ -29,7 +29,17 @@ def greedy_allocation(spark, sf):
     return O.allocate(demands, iv, plan="series", gap=300_000_000)
 
 
-QUERIES = {"nms_topscore": nms_topscore, "complete_link_groups": complete_link_groups, "leader_groups": leader_groups, "greedy_allocation": greedy_allocation}
+def ranked_windows(spark, sf):
+    """Per series the intervals of most value that keep an hour from one another."""
+    iv = intervals(spark, sf).where("e > s").withColumn("score", F.col("e") - F.col("s"))
+    return O.separated(iv, group="series", key="event_id", gap=3_600_000_000)
+
+
+def novel_gallery(spark, sf):
+    return O.gallery(table(spark, sf, "embeddings"), group="label", key="vec_id", vector="embedding", novelty=0.7, size=8)
+
+
+QUERIES = {"ranked_windows": ranked_windows, "novel_gallery": novel_gallery, "nms_topscore": nms_topscore, "complete_link_groups": complete_link_groups, "leader_groups": leader_groups, "greedy_allocation": greedy_allocation}
 
 SQL = {
     "nms_topscore": """with recursive b as (select p_partkey as k, p_partkey % 50 as g, (p_partkey * 7) % 90 as x, (p_partkey * 13) % 80 as y, 20 + p_size as w, 15 + p_size % 20 as h, (p_partkey * 31) % 101 as score from part),

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import evidence as E
 from strandline.functions import maths as M
 from strandline.functions import text as X
 from strandline.operators import graph
@@ -15,7 +16,7 @@ from strandline.operators import interval_algebra as A
 from strandline.operators import ordered as O
 from strandline.operators import relational as R
 from strandline.operators.islands import islands
-from strandline.operators.series import as_of
+from strandline.operators.series import as_of, boundary_safety
 from strandline.sources import files
 
 
@@ -160,6 +161,34 @@ def test_recordings(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path), "*.wav").count() == 1
 
 
+@pytest.mark.parametrize(("events", "safe"), [([1.2], False), ([2.7], False), ([4.4], True), ([3.8, 4.5], False), ([0.1], False), ([4.95], False), ([], True)])
+def test_boundary_rules(spark, events, safe):
+    us = lambda t: int(t * 1_000_000)
+    spans = spark.createDataFrame([(1, 7, 0, us(5))], "series bigint, key bigint, s bigint, e bigint")
+    at = spark.createDataFrame([(1, us(t)) for t in events], "series bigint, us bigint")
+    got = boundary_safety(spans, at, margin=us(0.12), head=us(3), slack=us(2), width=us(2)).first()
+    assert got.safe is safe
+
+
+def test_folds(spark):
+    iv = spark.createDataFrame([(1, 1, 0, 10, 5), (1, 2, 8, 12, 9), (1, 3, 13, 15, 1), (1, 4, 20, 22, 1)], "g bigint, k bigint, s bigint, e bigint, score bigint")
+    assert {x.k for x in O.separated(iv, group="g", key="k", gap=2).collect()} == {2, 4}
+    v = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.01]), (1, 3, [0.0, 1.0]), (1, 4, [-1.0, 0.0])], "g bigint, k bigint, v array<double>")
+    assert {x.k for x in O.gallery(v, group="g", key="k", vector="v", novelty=0.1, size=2).collect()} == {1, 3}
+    df = spark.createDataFrame([(i,) for i in range(1, 6)], "k bigint")
+    alike = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4)], "block bigint, a bigint, b bigint")
+    # 2 goes with 1; 3 is alike only the rejected 2 and stays; 4 goes with 3
+    assert {x.k for x in O.first_wins(df, alike, key="k").collect()} == {1, 3, 5}
+    with pytest.raises(Exception, match="2 are the most"):
+        O.separated(iv, group="g", key="k", gap=2, most=2).collect()
+
+
+def test_fingerprints(spark):
+    one = lambda a, b: spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(E.fingerprint_alike(F.col("a"), F.col("b"), 1, 2).alias("x")).first().x
+    assert one([0, 255, 1 << 40], [1, 254, 77777]) is True
+    assert one([0, 255], [1, 77777]) is False and one([], [1]) is False
+
+
 def test_nested_placements(spark):
     edges = [(0, 1, 10, 30, 5), (1, 2, 0, 100, 0), (1, 2, 8, 12, 0), (2, 3, 6, 9, 0)]
     e = spark.createDataFrame(edges, "parent bigint, child bigint, start bigint, end bigint, source_in bigint")
