@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.storage import scratch_path
+from strandline.storage import cut_lineage, scratch_path
 
 #: Exact copies of a vector that stay in the index; the others take their neighbours from these.
 COPIES_KEPT = 10
@@ -168,13 +168,24 @@ class Index:
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(_INDEX).parquet(self.path)
 
-    def followers(self, spark: SparkSession) -> DataFrame:
-        """Copies that are not in the index, each with the kept copies of the same vector: key, grp, kept (key, grp)."""
+    def has_followers(self, spark: SparkSession) -> bool:
+        return self.rows(spark).where("leaf = -1").limit(1).count() > 0
+
+    def followers(self, spark: SparkSession, linked: DataFrame | None = None) -> DataFrame:
+        """Copies that are not in the index, each with what is near the same vector: key, grp, kept (far, key, grp).
+
+        ``kept`` holds the copies in the index and, if the index's own neighbours are given as ``linked``, theirs too;
+        nearest first (``far`` is the cosine with its sign changed), then by key.
+        """
         rows = self.rows(spark).where("leaf < 0")
         own = rows.where("leaf = -1").select("copies", "keys", "grps").mapInPandas(_unpacked, "copy binary, key bigint, grp bigint")
         kept = rows.where("leaf = -2").select("copies", "keys", "grps").mapInPandas(_unpacked, "copy binary, key bigint, grp bigint")
-        kept = kept.groupBy("copy").agg(F.array_sort(F.collect_set(F.struct("key", "grp"))).alias("kept"))
-        return own.dropDuplicates(["key"]).join(kept, "copy").select("key", "grp", "kept")
+        near = kept.withColumn("cosine", F.lit(1.0))
+        if linked is not None:
+            others = linked.join(kept.select("copy", "key"), "key")
+            near = near.unionByName(others.select("copy", F.col("other").alias("key"), F.col("other_grp").alias("grp"), "cosine"))
+        near = near.groupBy("copy").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "key", "grp"))).alias("kept"))
+        return own.dropDuplicates(["key"]).join(near, "copy").select("key", "grp", "kept")
 
 
 def _unpacked(batches):
@@ -214,7 +225,10 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
             keys, groups, v = rows_of(batch)
             if not len(keys):
                 continue
-            cell, copy = tree.cell(unit(v).astype("float32") @ p), _copies(v)
+            copy = _copies(v)
+            once = ~pd.DataFrame({"k": keys, "c": copy}).duplicated().to_numpy()
+            keys, groups, v, copy = keys[once], groups[once], v[once], copy[once]
+            cell = tree.cell(unit(v).astype("float32") @ p)
             keep = keep_of_copies(keys, groups, copy)
             vec = [x.tobytes() if k else None for x, k in zip(v, keep, strict=True)]
             mark = [None if k else digest(x) for x, k in zip(v, keep, strict=True)]
@@ -224,9 +238,9 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
 
     def leaves(key, rows: pd.DataFrame) -> pd.DataFrame:
         cell, p, out = int(key[0]), settings.matrix(), []
-        rows = rows.drop_duplicates("key")
-        spare = rows[rows["vec"].isna()]
-        rows = rows[rows["vec"].notna()].sort_values("key", kind="stable")
+        # a key that has a vector in one row and only follows in another keeps the vector
+        spare = rows[rows["vec"].isna()].drop_duplicates("key")
+        rows = rows[rows["vec"].notna()].drop_duplicates("key").sort_values("key", kind="stable")
 
         def extra(leaf, k, g, c):
             out.append((cell, leaf, len(k), b"", b"", k.astype("int64").tobytes(), g.astype("int64").tobytes(), b"", b"".join(c)))
@@ -238,7 +252,8 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
         copy = _copies(v)
         if len(k):
             keep = keep_of_copies(k, g, copy)
-            many = np.isin(copy, np.flatnonzero(np.bincount(copy) >= COPIES_KEPT))
+            # whatever follows, here or in a batch, left at least five of its copies behind
+            many = np.isin(copy, np.flatnonzero(np.bincount(copy) >= COPIES_KEPT // 2))
             if many.any():
                 at = np.flatnonzero(many & keep)
                 extra(-2, k[at], g[at], [digest(v[i]) for i in at])
@@ -370,10 +385,10 @@ class _Search:
         self.low, self.high = np.minimum.reduceat(self.y, first), np.maximum.reduceat(self.y, first)
         self.least = s.least_cosine - 1e-6
         self.bound = np.full(len(self.keys), np.float32(self.least - 1e-6))
-        self.best = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+        self.best = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
 
     def run(self):
-        """Keys, groups, neighbours' keys and cosines, at most k to a query, sorted by query."""
+        """Keys, groups, neighbours' keys, their groups and cosines, at most k to a query, sorted by query."""
         cells, cut = self.index.cells, self.index.settings.least_chance
         wide = np.full(len(self.low), 2 - 2 * self.least)
         box = self.test.chance(self.low, self.high, self.index.low, self.index.high, wide)
@@ -386,7 +401,7 @@ class _Search:
             rows = rows[self._open(rows, self.index.low[i : i + 1], self.index.high[i : i + 1])[:, 0]]
             if len(rows):
                 self._visit(number, rows)
-        return self.keys[self.best[0]], self.groups[self.best[0]], self.best[1], self.best[2]
+        return self.keys[self.best[0]], self.groups[self.best[0]], *self.best[1:]
 
     def _open(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self.test.chance(self.y[rows], self.y[rows], low, high, 2 - 2 * self.bound[rows]) >= self.index.settings.least_chance
@@ -408,21 +423,21 @@ class _Search:
                 dot = np.einsum("ij,ij->i", a, b)
                 cosine = np.round(dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
                 ok = cosine >= s.least_cosine
-                found.append([qi[ok], keys[ci[ok]], cosine[ok]])
+                found.append([qi[ok], keys[ci[ok]], groups[ci[ok]], cosine[ok]])
         if not any(len(x[0]) for x in found):
             return
         touched = np.zeros(len(self.keys), bool)
         for x in found:
             touched[x[0]] = True
         again = touched[self.best[0]]
-        qi, k2, c = (np.concatenate([*(x[i] for x in found), self.best[i][again]]) for i in range(3))
+        qi, k2, g2, c = (np.concatenate([*(x[i] for x in found), self.best[i][again]]) for i in range(4))
         order = np.lexsort((k2, -c, qi))
-        qi, k2, c = qi[order], k2[order], c[order]
+        qi, k2, g2, c = qi[order], k2[order], g2[order], c[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
         keep, full = place < s.k, place == s.k - 1
         # an equal cosine of a smaller key still counts, and single precision is a little off
         self.bound[qi[full]] = np.maximum(self.bound[qi[full]], (c[full] - 2e-6).astype("float32"))
-        merged = [np.concatenate([x[~again], y[keep]]) for x, y in zip(self.best, (qi, k2, c), strict=True)]
+        merged = [np.concatenate([x[~again], y[keep]]) for x, y in zip(self.best, (qi, k2, g2, c), strict=True)]
         order = np.argsort(merged[0], kind="stable")
         self.best = [x[order] for x in merged]
 
@@ -438,7 +453,7 @@ def _shelf(index: Index) -> _Shelf:
     return _SHELVES[index.path]
 
 
-def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key bigint, grp bigint, other bigint, cosine double") -> DataFrame:
+def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key bigint, grp bigint, other bigint, other_grp bigint, cosine double") -> DataFrame:
     """The up to k most similar vectors of other groups for each vector in the index, by cosine to six decimals.
 
     Equal cosines go by the smaller key. ``each`` may reduce the rows of a task (a frame in, a frame of ``schema`` out).
@@ -454,7 +469,7 @@ def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key
     def search(batches):
         own = sorted(x for rows in batches for x in zip(rows["cell"].tolist(), rows["leaf"].tolist(), strict=True))
         if own:
-            frame = pd.DataFrame(dict(zip(("key", "grp", "other", "cosine"), _Search(_shelf(index), own).run(), strict=True)))
+            frame = pd.DataFrame(dict(zip(("key", "grp", "other", "other_grp", "cosine"), _Search(_shelf(index), own).run(), strict=True)))
             yield frame if each is None else each(frame)
 
     return ranged.mapInPandas(search, schema)
@@ -467,8 +482,9 @@ def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]]
     another ``group`` with at least ``least_cosine``.
 
     Defined cases: vectors that are null, of another length, all zero or not finite, and null keys and groups take no
-    part; a key counts once; arrays may be null, empty or of unequal length; exact copies beyond ten give their pairs
-    with the copies of smallest key; an empty table gives an empty result; other columns are not read.
+    part; a key counts once; arrays may be null, empty or of unequal length; exact copies beyond five of a group or ten
+    in all take the neighbours of those that stay in the index; an empty table gives an empty result; other columns are
+    not read.
     """
     spark = source.sparkSession
     columns = [c for p in pairs for c in p]
@@ -476,8 +492,11 @@ def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]]
     counted = rows.agg(*[F.sum(F.greatest(F.size(f"__{i}"), F.lit(0))) for i in range(0, len(columns), 2)]).first()
     named = [(f"__{i}", f"__{i + 1}") for i in range(0, len(columns), 2)]
     index = build_index(rows, lambda b: keyed_vectors(b, "__id", named, settings.dims), sum(x or 0 for x in counted), "vectors", settings)
-    linked = neighbours(index, spark).select("key", "other", "cosine")
-    copies = index.followers(spark).select("key", F.slice(F.filter("kept", lambda x: (x["grp"] != F.col("grp")) & (x["key"] != F.col("key"))), 1, settings.k).alias("k"))
-    copies = copies.select("key", F.explode("k").alias("x")).select("key", F.col("x.key").alias("other"), F.lit(1.0).alias("cosine"))
-    both = linked.unionByName(copies)
+    linked = neighbours(index, spark)
+    both = linked.select("key", "other", "cosine")
+    if index.has_followers(spark):
+        linked = cut_lineage(linked)
+        copies = index.followers(spark, linked).select("key", F.slice(F.filter("kept", lambda x: (x["grp"] != F.col("grp")) & (x["key"] != F.col("key"))), 1, settings.k).alias("k"))
+        copies = copies.select("key", F.explode("k").alias("x")).select("key", F.col("x.key").alias("other"), (-F.col("x.far")).alias("cosine"))
+        both = linked.select("key", "other", "cosine").unionByName(copies)
     return both.groupBy(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).agg(F.max("cosine").alias("cosine"))

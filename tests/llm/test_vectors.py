@@ -109,6 +109,24 @@ def test_similar_pairs_against_brute_force(spark, copies):
     assert {(x.key_a, x.key_b) for x in similar_pairs(df, group="id", pairs=[("ks", "vs"), ("rs", "ws")], settings=exact).collect()} == want
 
 
+@pytest.mark.parametrize("delivered", [1, 2])
+def test_equal_vectors_of_a_track_have_all_neighbours(spark, delivered):
+    rng = np.random.default_rng(4)
+    base = np.eye(DIMS)[1]
+    near = lambda: [float(np.float32(x)) for x in base + 0.05 * rng.standard_normal(DIMS)]
+    same = [float(x) for x in base]
+    # eight equal vectors of one track, two of another, and a track that gives its keys in both arrays
+    rows = [(1, list(range(1, 9)), [same] * 8, None, None), (2, [20, 21], [same] * 2, None, None)]
+    other = near()
+    rows += [(3, [30, 31, 32], [other] * 3, [30, 31, 32], [other] * 3)]
+    rows += [(10 + i, [100 + i], [near()], [], []) for i in range(12)]
+    rows = rows * delivered
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    exact = SearchSettings(dims=DIMS, leaf_rows=32, cell_rows=64, least_chance=0.0)
+    got = {(x.key_a, x.key_b) for x in similar_pairs(df, group="id", pairs=[("ks", "vs"), ("rs", "ws")], settings=exact).collect()}
+    assert got == brute(rows, 5, 0.8)
+
+
 def test_similar_pairs_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert similar_pairs(df, group="id", pairs=[("ks", "vs")], settings=SearchSettings(dims=DIMS)).collect() == []
