@@ -20,11 +20,13 @@ TREE_EDGES = 200_000
 NODES_PER_TASK = 20_000
 
 
-def mean_vectors(batch, key: str, vectors: str, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the mean of its usable vectors, each first scaled to length 1; rows without one are left out."""
+def mean_vectors(batch, key: str, vectors: str, dims: int, group: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, groups (the keys, if not given) and per row the mean of its usable vectors, each first scaled to length 1;
+    rows without one are left out."""
     ids = batch.column(key)
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     own = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    groups = own if group is None else batch.column(group).to_numpy(zero_copy_only=False).astype("int64")
     rows, _, inner = nested(batch.column(vectors))
     good, values = usable(inner, dims)
     row = rows[good]
@@ -35,7 +37,7 @@ def mean_vectors(batch, key: str, vectors: str, dims: int) -> tuple[np.ndarray,
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     mean = (np.add.reduceat(values, first) / np.diff(np.append(first, len(row)))[:, None]).astype("float32")
     ok = (mean != 0).any(1)
-    return own[row[first]][ok], own[row[first]][ok], mean[ok]
+    return own[row[first]][ok], groups[row[first]][ok], mean[ok]
 
 
 def hierarchy(nodes: np.ndarray, sizes: np.ndarray, u, v, w, radius: float, least_size: int, epsilon: float):
@@ -154,13 +156,19 @@ def _settings(radius: float, k: int, dims: int) -> SearchSettings:
 def neighbour_graph(source: DataFrame, *, key: str, vectors: str, radius: float, k: int, least_points: int, dims: int) -> DataFrame:
     """(u, v, w): mutual-reachability distances of a graph whose trees are those of all pairs within ``radius``.
 
-    Each record is linked to its ``k`` nearest. A tree in which every record found ``k`` may go on beyond them; such trees
-    are searched again by one record each, until none finds another. Each task reduces its edges to their own spanning
-    forest before they are shuffled.
+    Each record is linked to its ``k`` nearest. A pair that isn't linked has two records that found ``k``; all such records
+    are searched again among themselves for the ``k`` nearest in other trees, until none finds another. Copies outside the
+    index hang on a kept copy, which searches for them. Each task reduces its edges to their own spanning forest before
+    they are shuffled.
     """
     spark, settings = source.sparkSession, _settings(radius, k, dims)
     rows = source.select(F.col(key).alias("__id"), F.col(vectors).alias("__v")).where("__id is not null")
-    rows_of = lambda b: mean_vectors(b, "__id", "__v", dims)
+
+    def rows_of(batch):
+        return mean_vectors(batch, "__id", "__v", dims)
+
+    def in_trees(batch):
+        return mean_vectors(batch, "__id", "__v", dims, "__tree")
 
     def reach(found: pd.DataFrame) -> pd.DataFrame:
         distance = 1 - found["cosine"].to_numpy()
@@ -171,13 +179,12 @@ def neighbour_graph(source: DataFrame, *, key: str, vectors: str, radius: float,
         own = found["key"].map(core).to_numpy() if least_points > 1 else np.zeros(len(found))
         return pd.DataFrame({"u": found["key"], "v": found["other"], "d": distance, "core": own, "full": full})
 
-    def linked(part: DataFrame, n: int, what: str) -> tuple[DataFrame, DataFrame]:
-        index = build_index(part, rows_of, n, what, settings)
-        out = neighbours(index, spark, reach, "u bigint, v bigint, d double, core double, full boolean")
-        spare = index.followers(spark).select(F.col("key").alias("u"), F.col("kept")[0]["key"].alias("v"), F.lit(0.0).alias("d"), F.lit(0.0).alias("core"), F.lit(False).alias("full"))
-        return cut_lineage(out.unionByName(spare)), index
+    def linked(index) -> DataFrame:
+        return neighbours(index, spark, reach, "u bigint, v bigint, d double, core double, full boolean")
 
-    found, _ = linked(rows, rows.count(), "tracks")
+    index = build_index(rows, rows_of, rows.count(), "tracks", settings)
+    spare = index.followers(spark).select(F.col("key").alias("u"), F.col("kept")[0]["key"].alias("v"), F.lit(0.0).alias("d"), F.lit(0.0).alias("core"), F.lit(False).alias("full"))
+    found = cut_lineage(linked(index).unionByName(spare))
     if least_points > 2:
         core = found.groupBy("u").agg(F.first("core").alias("c")).dropna()
         both = found.join(core, "u").join(core.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
@@ -187,21 +194,21 @@ def neighbour_graph(source: DataFrame, *, key: str, vectors: str, radius: float,
         edges = found.select("u", "v", F.col("d").alias("w"))
     reduced = lambda e: e.mapInPandas(lambda bs: (local_forest(b) for b in bs), EDGE)
     edges = cut_lineage(spanning_forest(reduced(edges)))
-    state = cut_lineage(found.groupBy(F.col("u").alias("node")).agg(F.first("full").alias("full")))
+    state = found.where("full").select(F.col("u").alias("node")).distinct()
     while True:
-        labels = labels_of(edges)
-        open_ = cut_lineage(state.join(labels, "node").groupBy("comp").agg(F.min("full").alias("full"), F.min("node").alias("node")).where("full").select("node"))
-        n = open_.count()
-        if n < 2:
+        open_ = cut_lineage(state.join(labels_of(edges), "node").select(F.col("node").alias("__id"), F.col("comp").alias("__tree")))
+        n, trees = open_.agg(F.count("*"), F.count_distinct("__tree")).first()
+        if trees < 2:
             return edges
-        more, _ = linked(rows.join(open_.select(F.col("node").alias("__id")), "__id", "left_semi"), n, "trees")
-        new = more.select("u", "v", F.col("d").alias("w"))
-        if not new.limit(1).count():
+        more = cut_lineage(linked(build_index(rows.join(open_, "__id"), in_trees, n, "trees", settings)))
+        if not more.limit(1).count():
             return edges
-        edges = cut_lineage(spanning_forest(edges.unionByName(new)))
-        seen = more.groupBy(F.col("u").alias("node")).agg(F.first("full").alias("full"))
-        # a tree stays open only where its record found as many as it looked for
-        state = cut_lineage(state.select("node", F.lit(False).alias("full")).join(seen.select("node"), "node", "left_anti").unionByName(seen))
+        new = more.select("u", "v", F.col("d").alias("w"))
+        if least_points > 2:
+            new = more.join(core, "u", "left").join(core.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v", "left").select("u", "v", F.greatest("d", "c", "cv").alias("w"))
+        edges = cut_lineage(spanning_forest(edges.unionByName(reduced(new))))
+        # a record stays open only where it found as many as it looked for
+        state = more.where("full").select(F.col("u").alias("node")).distinct()
 
 
 def cluster(

@@ -152,7 +152,7 @@ def digest(vector: np.ndarray) -> bytes:
 
 
 _PLACED = "cell int, key bigint, grp bigint, vec binary, copy binary"
-_INDEX = "cell int, leaf int, n int, low binary, high binary, keys binary, grps binary, vecs binary, copies binary"
+_INDEX = "cell int, leaf int, n int, low binary, high binary, keys binary, grps binary, vecs binary, copies binary, one binary"
 
 
 class Index:
@@ -243,7 +243,7 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
         rows = rows[rows["vec"].notna()].drop_duplicates("key").sort_values("key", kind="stable")
 
         def extra(leaf, k, g, c):
-            out.append((cell, leaf, len(k), b"", b"", k.astype("int64").tobytes(), g.astype("int64").tobytes(), b"", b"".join(c)))
+            out.append((cell, leaf, len(k), b"", b"", k.astype("int64").tobytes(), g.astype("int64").tobytes(), b"", b"".join(c), b""))
 
         if len(spare):
             extra(-1, spare["key"].to_numpy(), spare["grp"].to_numpy(), spare["copy"])
@@ -263,7 +263,8 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
             k, g, v = k[keep], g[keep], v[keep]
             y = unit(v).astype("float32") @ p
             for leaf, at in enumerate(_split(y, np.arange(len(k)), settings.leaf_rows)):
-                out.append((cell, leaf, len(at), y[at].min(0).tobytes(), y[at].max(0).tobytes(), k[at].tobytes(), g[at].tobytes(), v[at].tobytes(), b""))
+                one = g[at[:1]].tobytes() if (g[at] == g[at[0]]).all() else b""
+                out.append((cell, leaf, len(at), y[at].min(0).tobytes(), y[at].max(0).tobytes(), k[at].tobytes(), g[at].tobytes(), v[at].tobytes(), b"", one))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.split(", ")])
 
     path = scratch_path(spark, what)
@@ -290,11 +291,15 @@ class _Cell:
         import pyarrow.dataset as ds
 
         self._data, self._dims, self._full = ds.dataset(folder, format="parquet", filesystem=fs), dims, None
-        t = self._data.to_table(columns=["leaf", "low", "high"], filter=ds.field("leaf") >= 0)
+        t = self._data.to_table(columns=["leaf", "low", "high", "one"], filter=ds.field("leaf") >= 0)
         self.leaf = t.column("leaf").to_numpy()
         self.order = np.argsort(self.leaf)
         self.leaf = self.leaf[self.order]
         self.low, self.high = (np.frombuffer(b"".join(t.column(c).to_pylist()), "float32").reshape(-1, m)[self.order] for c in ("low", "high"))
+        # leaves of one group only, and that group
+        one = t.column("one").to_pylist()
+        self.pure = np.array([len(x) > 0 for x in one], bool)[self.order]
+        self.one = np.frombuffer(b"".join(x or bytes(8) for x in one), "int64")[self.order]
         self.size = self.low.nbytes * 2
 
     def vectors(self, i: int):
@@ -409,6 +414,7 @@ class _Search:
     def _visit(self, number: int, rows: np.ndarray) -> None:
         s, cell = self.index.settings, self.shelf.cell(number)
         wanted, found = self._open(rows, cell.low, cell.high), []
+        wanted &= ~(cell.pure & (self.groups[rows][:, None] == cell.one))
         for j in np.flatnonzero(wanted.any(0)):
             q = rows[wanted[:, j]]
             keys, groups, raw, units = cell.vectors(int(j))

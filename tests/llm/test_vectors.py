@@ -162,6 +162,20 @@ def test_clusters_of_separated_groups(spark, copies, tree_edges):
     assert cluster(df.limit(0), key="id", vectors="vs", dims=DIMS).collect() == []
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_cluster_isnt_split_where_nearer_records_crowd_out_the_rest(spark, copies):
+    rng = np.random.default_rng(5)
+    a, b, c, d = np.eye(DIMS)[:4]
+    at = lambda x, spread=1e-3: [[float(y) for y in x + spread * rng.standard_normal(DIMS)]]
+    # two tight groups, alike across; each record finds enough in its own
+    vectors = [at(a, 0 if copies else 1e-3) for _ in range(15)] + [at(0.9 * a + 0.43 * b) for _ in range(15)]
+    # a record that finds one other only, and that one leads to the first group
+    vectors += [at(0.85 * a + 0.53 * c), at(0.72 * a + 0.45 * c + 0.53 * d)]
+    rows = list(enumerate(vectors))
+    got = cluster(spark.createDataFrame(rows + rows[:5], "id bigint, vs array<array<float>>"), key="id", vectors="vs", dims=DIMS, k=4).collect()
+    assert sorted((x.cluster_id, x.key) for x in got) == [(0, i) for i in range(32)]
+
+
 def test_a_tree_of_equal_edges_is_contracted(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [[float(x) for x in (np.eye(DIMS)[2] + 1e-4 * rng.standard_normal(DIMS))]]) for i in range(60)]
