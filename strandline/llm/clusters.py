@@ -227,7 +227,9 @@ def cluster(
     Plan: the neighbours come from the index of ``vectors.py``; edges are reduced to spanning forests where they arise;
     Borůvka's rounds are distributed; trees are solved side by side, many small ones to a task. A tree of more than
     ``tree_edges`` edges is contracted below the distance that leaves it about so many, with the sizes of what was
-    contracted: its hierarchy isn't resolved below that distance, its clusters and members are.
+    contracted: its hierarchy isn't resolved below that distance, its clusters and members are. What was contracted gets
+    its persistence from its lightest edge in the forest: with ``least_size`` 2 the same as without contraction, with more
+    an upper bound of it.
     """
     epsilon = radius if epsilon is None else epsilon
     forest = neighbour_graph(source, key=key, vectors=vectors, radius=radius, k=k, least_points=least_points, dims=dims)
@@ -241,10 +243,21 @@ def cluster(
     group = F.pmod(F.xxhash64("comp"), F.lit(max(1, math.ceil(n / NODES_PER_TASK)))).alias("g")
     solved = edges.groupBy(group).applyInPandas(_trees(least_size, radius, epsilon), "node bigint, cluster bigint, persistence double, typical boolean")
     if blobs is not None:
-        solved = solved.join(blobs, solved["node"] == blobs["blob"], "left").select(F.coalesce("inner", "node").alias("node"), "cluster", "persistence", "typical")
+        solved = solved.join(blobs, solved["node"] == blobs["blob"], "left").select(F.coalesce("inner", "node").alias("node"), "cluster", "persistence", F.col("inner").isNotNull().alias("inside"))
+        solved = _own_persistence(cut_lineage(solved), forest)
     return solved.select(F.col("cluster").alias("cluster_id"), F.col("node").alias("key"), "persistence", "typical")
 
 
+def _own_persistence(solved: DataFrame, forest: DataFrame) -> DataFrame:
+    """What was contracted falls out, each record by itself, at its lightest edge; typical records are chosen by that."""
+    ends = forest.select(F.col("u").alias("node"), "w").unionByName(forest.select(F.col("v").alias("node"), "w"))
+    lightest = ends.groupBy("node").agg(F.min("w").alias("w"))
+    own = F.when(F.col("inside"), 1 / F.greatest("w", F.lit(1e-6))).otherwise(F.col("persistence"))
+    solved = cut_lineage(solved.join(lightest, "node").select("node", "cluster", own.alias("persistence")))
+    best = solved.groupBy("cluster").agg(F.max("persistence").alias("best"))
+    return solved.join(best, "cluster").select("node", "cluster", "persistence", (F.col("persistence") >= F.col("best") * (1 - 1e-9)).alias("typical"))
+
+
 def _contracted(edges: DataFrame, large: DataFrame, tree_edges: int) -> tuple[DataFrame, DataFrame]:
     """Trees that are too large, contracted below a distance of their own; and (blob, inner) of what was contracted."""
     steps = 1000

@@ -176,6 +176,16 @@ def test_a_cluster_isnt_split_where_nearer_records_crowd_out_the_rest(spark, cop
     assert sorted((x.cluster_id, x.key) for x in got) == [(0, i) for i in range(32)]
 
 
+def test_contraction_changes_neither_persistence_nor_typical_records(spark):
+    rows, _ = separated(3)
+    # a dense core in a wide cluster
+    rng, core = np.random.default_rng(6), np.eye(DIMS)[4]
+    rows += [(len(rows) + 1 + i, [[float(x) for x in core + 0.08 * rng.standard_normal(DIMS) * (0.01 if i < 6 else 1)]]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, vs array<array<float>>")
+    whole, cut = ({x.key: (x.cluster_id, round(x.persistence, 9), x.typical) for x in cluster(df, key="id", vectors="vs", dims=DIMS, k=4, tree_edges=n).collect()} for n in (200_000, 25))
+    assert whole == cut
+
+
 def test_a_tree_of_equal_edges_is_contracted(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [[float(x) for x in (np.eye(DIMS)[2] + 1e-4 * rng.standard_normal(DIMS))]]) for i in range(60)]
