@@ -133,7 +133,18 @@ def merged_words(spark, sf):
 @query("zero_filled_grid", _OBS + """, h as (select label, us // 86400000000 as day, count(*) as n from o where series < 3 group by all), d as (select unnest(range((select min(day) from h), (select max(day) from h) + 1)) as day),
 l as (select distinct label from h) select l.label, d.day, coalesce(n, 0) as n from l cross join d left join h on h.label = l.label and h.day = d.day""")
 def zero_filled_grid(spark, sf):
-    h = observations(spark, sf).where("series < 3").groupBy("label", F.floor(F.col("us") / DAY).alias("day")).agg(F.count("*").alias("n"))
+    return _grid(observations(spark, sf).where("series < 3"))
+
+
+@query("zero_filled_grid_all", _OBS + """, h as (select label, us // 86400000000 as day, count(*) as n from o group by all), d as (select unnest(range((select min(day) from h), (select max(day) from h) + 1)) as day),
+l as (select distinct label from h) select l.label, d.day, coalesce(n, 0) as n from l cross join d left join h on h.label = l.label and h.day = d.day""")
+def zero_filled_grid_all(spark, sf):
+    """The grid of all series; `zero_filled_grid` keeps three, as its SQL does."""
+    return _grid(observations(spark, sf))
+
+
+def _grid(o):
+    h = o.groupBy("label", F.floor(F.col("us") / DAY).alias("day")).agg(F.count("*").alias("n"))
     span = h.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"), F.lit(1).alias("one"))
     grid = h.select("label").distinct().withColumn("one", F.lit(1)).join(span, "one").drop("one")
     return grid.join(h, ["label", "day"], "left").select("label", "day", F.coalesce("n", F.lit(0)).alias("n"))
