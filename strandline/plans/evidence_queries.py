@@ -161,9 +161,22 @@ def overlap_add(spark, sf):
 w as (select child as node, a as s, b as e, a - i as shift, 1 as depth from e where parent = 0) select 0::bigint as root, node, s, e, depth from (
  with recursive r as (select * from w union all select e.child, greatest(r.s, e.a + r.shift), least(r.e, e.b + r.shift), e.a + r.shift - e.i, r.depth + 1 from r join e on e.parent = r.node where least(r.e, e.b + r.shift) > greatest(r.s, e.a + r.shift)) select * from r)""")
 def placed_nests(spark, sf):
+    return _nests(table(spark, sf, "part").where("p_partkey < 300"))
+
+
+@query("placed_nests_all", """with e as (select p_partkey // 3 as parent, p_partkey as child, (p_partkey % 7)::bigint as a, (p_partkey % 7 + 20 + p_size)::bigint as b, (p_partkey % 2)::bigint as i from part where p_partkey > 0),
+w as (select child as node, a as s, b as e, a - i as shift, 1 as depth from e where parent = 0) select 0::bigint as root, node, s, e, depth from (
+ with recursive r as (select * from w union all select e.child, greatest(r.s, e.a + r.shift), least(r.e, e.b + r.shift), e.a + r.shift - e.i, r.depth + 1 from r join e on e.parent = r.node where least(r.e, e.b + r.shift) > greatest(r.s, e.a + r.shift)) select * from r)""")
+def placed_nests_all(spark, sf):
+    """The nests of all parts; `placed_nests` keeps keys below 300, as its SQL does."""
+    return _nests(table(spark, sf, "part"))
+
+
+def _nests(part):
     k = F.col("p_partkey")
-    e = table(spark, sf, "part").where("p_partkey > 0 and p_partkey < 300").select(F.floor(k / 3).alias("parent"), k.alias("child"), (k % 7).alias("start"), (k % 7 + 20 + F.col("p_size")).alias("end"), (k % 2).alias("source_in"))
-    roots = spark.range(1).withColumnRenamed("id", "node")
+    # 0 is the root itself
+    e = part.where("p_partkey > 0").select(F.floor(k / 3).alias("parent"), k.alias("child"), (k % 7).alias("start"), (k % 7 + 20 + F.col("p_size")).alias("end"), (k % 2).alias("source_in"))
+    roots = part.sparkSession.range(1).withColumnRenamed("id", "node")
     return graph.flatten(e, roots).select("root", "node", "s", "e", "depth")
 
 
