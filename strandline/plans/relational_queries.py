@@ -66,7 +66,16 @@ def masked_mean(spark, sf):
 
 @query("token_normalise", "select doc_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) as t, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') as token, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from documents where regexp_full_match(title, '[ -~]*')")
 def token_normalise(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("title").rlike("^[ -~]*$"))
+    return _normalised(table(spark, sf, "documents").where(F.col("title").rlike("^[ -~]*$")))
+
+
+@query("token_normalise_all")
+def token_normalise_all(spark, sf):
+    """All titles; `token_normalise` keeps the plain ASCII ones, as its SQL does. Tokens and slugs hold a-z and 0-9 only."""
+    return _normalised(table(spark, sf, "documents"))
+
+
+def _normalised(d):
     return d.select("doc_id", X.normalise(F.col("title")).alias("t"), X.token(F.col("title")).alias("token"), X.slug(F.col("title")).alias("slug"))
 
 
