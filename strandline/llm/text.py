@@ -16,7 +16,7 @@ _FOREIGN = re.compile("[" + "".join(PLAIN_LETTERS) + "]")
 #: Marks left over from decomposition, and characters without width.
 _UNSEEN = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
 _BROKEN = re.compile("(?<=[^\\W_])[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t>|　 ]*(?=[^\\W_])")
-_TAG = re.compile(r"</?[a-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^a-z]+")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿]")

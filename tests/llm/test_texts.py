@@ -131,3 +131,9 @@ def test_split_documents(spark):
     assert {x.id for x in got} == {1} and all(x.n_tokens <= 100 for x in got)
     assert "".join(x.text[x.new_from_char - x.start_char :] for x in got) == "word " * 1000
     assert split_documents(df.limit(0), doc_id="id", text="text").collect() == []
+
+
+def test_a_tag_of_any_length_is_no_word():
+    from strandline.llm.text import words
+
+    assert words("one <a href='" + "x/" * 500 + "'>two</a> three") == ["one", "two", "three"]
