@@ -2,8 +2,8 @@
 
 Vectors are projected with a stable (Gaussian) random matrix to a few numbers. A kd-tree over the projections, fitted on a
 bounded sample, cuts the collection into cells; each cell cuts itself into leaves and is written to the shared folder
-with its vectors. The search takes a leaf of queries at a time, opens other leaves in the order of their projected
-distance, verifies the vectors in them exactly, and stops where a chi-square test says that a nearer vector is unlikely.
+with its vectors. A query opens the leaves in the order of the chance that they hold a vector as near as its k-th, verifies
+the vectors in them exactly, and stops where little chance is left outside; a chi-square test closes leaves that are too far.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import hashlib
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,10 +23,6 @@ from pyspark.sql import functions as F
 
 from strandline.storage import cut_lineage, scratch_path
 
-#: Exact copies of a vector that stay in the index; the others take their neighbours from these.
-COPIES_KEPT = 10
-
-
 @dataclass(frozen=True)
 class SearchSettings:
     """Settings of the index and the search; the defaults hold for every size of collection."""
@@ -34,21 +30,21 @@ class SearchSettings:
     dims: int = 80
     k: int = 5
     least_cosine: float = 0.8
-    #: Numbers of the stable projection.
-    projected: int = 12
-    #: A leaf stays closed for a query if the chance of a nearer vector in it is below this.
+    #: Numbers of the stable projection, an even number.
+    projected: int = 16
+    #: The search stops where a vector as near as the k-th found lies in a closed leaf with less than this chance; 0 opens all.
     least_chance: float = 0.02
-    leaf_rows: int = 512
+    leaf_rows: int = 256
     cell_rows: int = 4096
-    max_cells: int = 4096
-    #: The tree of cells is fitted on about twice as many vectors for each cell, four times as many at most (262,144 in all).
-    sample_per_cell: int = 16
+    #: With more than cell_rows * max_cells vectors (134 million) cells grow; a cell of 300,000 vectors (10 billion) takes 100 MB.
+    max_cells: int = 32_768
+    #: The tree of cells is fitted on about twice as many vectors for each cell, four times as many at most (1,048,576 in all).
+    sample_per_cell: int = 8
     seed: int = 20250301
     #: Queries that a task answers together.
     task_rows: int = 16_384
     #: Bytes of cells that a task remembers.
     cache_bytes: int = 160 << 20
-    _: tuple = field(default=(), repr=False)
 
     def matrix(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.dims, self.projected)).astype("float32")
@@ -90,13 +86,18 @@ def keyed_vectors(batch: pa.RecordBatch, group: str, pairs: list[tuple[str, str]
     return np.concatenate(keys), np.concatenate(groups), np.concatenate(found)
 
 
+def projections(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """In double precision first, so that equal vectors come out equal in whatever batch they stand."""
+    return (unit(vectors) @ matrix.astype("float64")).astype("float32")
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype("float64")
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 class Tree:
-    """The upper kd-tree: complete, split at the median of the direction of most variance."""
+    """A complete kd-tree: nodes 1, 2, ... as in a heap, each split at the median of the direction of most variance."""
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth, n = depth, 1 << depth
@@ -117,14 +118,53 @@ class Tree:
         return node - (1 << self.depth)
 
 
-def _split(y: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    if len(rows) <= most:
-        yield rows
-        return
-    axis, half = int(np.argmax(y[rows].var(0))), len(rows) // 2
-    order = np.argpartition(y[rows, axis], half)
-    yield from _split(y, rows[order[:half]], most)
-    yield from _split(y, rows[order[half:]], most)
+def _descend(depth: int, axis: np.ndarray, cut: np.ndarray, bounds, y: np.ndarray, d: np.ndarray, mass: np.ndarray, rows: np.ndarray, least: float):
+    """Of a tree's leaves: number, bounds, and which rows may have a vector at distance ``d`` in it with which chance.
+
+    A projected difference is ``d`` times a standard normal number in each direction, so the chance of a node is that of its
+    parent times the share of the normal distribution on its side of the cut. Chances below ``least`` aren't followed.
+    """
+    stack = [(1, bounds, rows, mass)]
+    while stack:
+        node, (low, high), own, chance = stack.pop()
+        if node >= 1 << depth:
+            yield node - (1 << depth), (low, high), own, chance
+            continue
+        j, c = int(axis[node]), float(cut[node])
+        at, scale = y[own, j], d[own]
+        here = normal((c - at) / scale)
+        below = 0.0 if low[j] == -np.inf else normal((low[j] - at) / scale)
+        above = 1.0 if high[j] == np.inf else normal((high[j] - at) / scale)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.nan_to_num((here - below) / (above - below), nan=0.5)
+        share = np.clip(share, 0, 1)
+        for side, part in ((0, chance * share), (1, chance * (1 - share))):
+            on = part >= least
+            if on.any():
+                b = (low, high.copy()) if side == 0 else (low.copy(), high)
+                b[1 - side][j] = c
+                stack.append((2 * node + side, b, own[on], part[on]))
+
+
+_NORMAL = np.array([0.5 * math.erfc(-x / 500 / math.sqrt(2)) for x in range(-3000, 3001)], "float32")
+
+
+def normal(z: np.ndarray) -> np.ndarray:
+    """The distribution function of the standard normal distribution, to three decimals of ``z``."""
+    return _NORMAL[(np.clip(z, -6, 6) * 500 + 3000.5).astype("int32")]
+
+
+def chi_square_limit(directions: int, chance: float) -> float:
+    """What chi-square with an even number of degrees of freedom exceeds with this chance."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        x = (low + high) / 2
+        term = total = 1.0
+        for j in range(1, directions // 2):
+            term *= x / 2 / j
+            total += term
+        low, high = (x, high) if math.exp(-x / 2) * total > chance else (low, x)
+    return low
 
 
 def _copies(vectors: np.ndarray) -> np.ndarray:
@@ -133,15 +173,15 @@ def _copies(vectors: np.ndarray) -> np.ndarray:
     return pd.factorize(pd.Series([x.tobytes() for x in rows]) if len(rows) else pd.Series([], dtype=object))[0]
 
 
-def keep_of_copies(keys: np.ndarray, groups: np.ndarray, copy: np.ndarray) -> np.ndarray:
-    """Which rows stay: of each set of copies the smallest keys, five of a group at most and ten in all.
+def keep_of_copies(keys: np.ndarray, groups: np.ndarray, copy: np.ndarray, k: int) -> np.ndarray:
+    """Which rows stay: of each set of copies the smallest keys, k of a group at most and 2 k in all.
 
-    Whatever group a query is of, the five smallest keys of other groups are among these ten.
+    Whatever group a query is of, the k smallest keys of other groups are among these.
     """
     order = np.lexsort((keys, copy))
     frame = pd.DataFrame({"c": copy[order], "g": groups[order]})
-    first = (frame.groupby(["c", "g"]).cumcount() < COPIES_KEPT // 2).to_numpy()
-    place = frame[first].groupby("c").cumcount().to_numpy() < COPIES_KEPT
+    first = (frame.groupby(["c", "g"]).cumcount() < k).to_numpy()
+    place = frame[first].groupby("c").cumcount().to_numpy() < 2 * k
     keep = np.zeros(len(keys), bool)
     keep[order[np.flatnonzero(first)[place]]] = True
     return keep
@@ -151,19 +191,17 @@ def digest(vector: np.ndarray) -> bytes:
     return hashlib.blake2b(np.ascontiguousarray(vector).tobytes(), digest_size=16).digest()
 
 
-_PLACED = "cell int, key bigint, grp bigint, vec binary, copy binary"
-_INDEX = "cell int, leaf int, n int, low binary, high binary, keys binary, grps binary, vecs binary, copies binary, one binary"
+_PLACED = "cell int, key bigint, grp bigint, vec binary, copy binary, asks boolean"
+#: Leaves (leaf >= 0; the first holds the cell's tree), copies that aren't in a leaf (-1), kept copies of such (-2); n is the
+#: number of queries.
+_INDEX = "cell int, leaf int, n int, low binary, high binary, keys binary, grps binary, vecs binary, copies binary, one binary, asks binary, tree binary"
 
 
 class Index:
     """An index written to the shared folder, and what a search needs to know of it."""
 
-    def __init__(self, path: str, settings: SearchSettings, cells: list):
-        self.path, self.settings = path, settings
-        self.cells = np.array([c[0] for c in cells], "int64")
-        m = settings.projected
-        self.low = np.array([c[1] for c in cells], "float32").reshape(-1, m)
-        self.high = np.array([c[2] for c in cells], "float32").reshape(-1, m)
+    def __init__(self, path: str, settings: SearchSettings, tree: Tree, cells: list):
+        self.path, self.settings, self.tree, self.cells = path, settings, tree, frozenset(cells)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(_INDEX).parquet(self.path)
@@ -198,7 +236,8 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
     """Writes the index of all vectors.
 
     ``source`` has a column ``__id`` that the sample of the tree is drawn by; ``rows_of(batch)`` gives keys, groups and
-    raw vectors of an Arrow batch of ``source``; ``n_rows`` is about how many. Each key counts once.
+    raw vectors of an Arrow batch of ``source`` and, if not all, which of them are queries; ``n_rows`` is about how many.
+    Each key counts once.
 
     Plan: one pass over the sample, one shuffle of the vectors by cell, one write. Exact copies are reduced before the
     shuffle and again in their cell.
@@ -210,31 +249,31 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
     def project(batches):
         p = settings.matrix()
         for batch in batches:
-            _, _, v = rows_of(batch)
-            yield pa.RecordBatch.from_pydict({"y": pa.array([x.tobytes() for x in unit(v).astype("float32") @ p], pa.binary())})
+            v = rows_of(batch)[2]
+            yield pa.RecordBatch.from_pydict({"y": pa.array([x.tobytes() for x in projections(v, p)], pa.binary())})
 
     steps = 1_000_000
     share = min(steps, math.ceil(steps * 2 * wanted / max(1, n_rows)))
     # the share is drawn by id, the limit bounds what the driver gets
-    drawn = source.where(F.pmod(F.xxhash64("__id"), F.lit(steps)) < share).mapInArrow(project, "y binary").limit(4 * wanted).collect()
-    tree = Tree(np.frombuffer(b"".join(bytes(r["y"]) for r in drawn), "float32").reshape(-1, m), depth)
+    drawn = source.where(F.pmod(F.xxhash64("__id"), F.lit(steps)) < share).mapInArrow(project, "y binary").limit(4 * wanted).toArrow()
+    tree = Tree(np.frombuffer(b"".join(drawn.column("y").to_pylist()), "float32").reshape(-1, m), depth)
 
     def place(batches):
         p = settings.matrix()
         for batch in batches:
-            keys, groups, v = rows_of(batch)
+            keys, groups, v, *asks = rows_of(batch)
             if not len(keys):
                 continue
-            copy = _copies(v)
+            copy, asks = _copies(v), asks[0] if asks else np.ones(len(keys), bool)
             once = ~pd.DataFrame({"k": keys, "c": copy}).duplicated().to_numpy()
-            keys, groups, v, copy = keys[once], groups[once], v[once], copy[once]
-            cell = tree.cell(unit(v).astype("float32") @ p)
-            keep = keep_of_copies(keys, groups, copy)
+            keys, groups, v, copy, asks = keys[once], groups[once], v[once], copy[once], asks[once]
+            cell = tree.cell(projections(v, p))
+            keep = keep_of_copies(keys, groups, copy, settings.k)
             vec = [x.tobytes() if k else None for x, k in zip(v, keep, strict=True)]
             mark = [None if k else digest(x) for x, k in zip(v, keep, strict=True)]
             # a copy that isn't needed goes anywhere, so that copies don't gather
             cell = np.where(keep, cell, keys % (1 << depth))
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int32()), "key": keys, "grp": groups, "vec": pa.array(vec, pa.binary()), "copy": pa.array(mark, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int32()), "key": keys, "grp": groups, "vec": pa.array(vec, pa.binary()), "copy": pa.array(mark, pa.binary()), "asks": asks})
 
     def leaves(key, rows: pd.DataFrame) -> pd.DataFrame:
         cell, p, out = int(key[0]), settings.matrix(), []
@@ -243,89 +282,100 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
         rows = rows[rows["vec"].notna()].drop_duplicates("key").sort_values("key", kind="stable")
 
         def extra(leaf, k, g, c):
-            out.append((cell, leaf, len(k), b"", b"", k.astype("int64").tobytes(), g.astype("int64").tobytes(), b"", b"".join(c), b""))
+            out.append((cell, leaf, len(k), b"", b"", k.astype("int64").tobytes(), g.astype("int64").tobytes(), b"", b"".join(c), b"", b"", b""))
 
         if len(spare):
             extra(-1, spare["key"].to_numpy(), spare["grp"].to_numpy(), spare["copy"])
         v = np.frombuffer(b"".join(rows["vec"]), "float32").reshape(-1, settings.dims)
-        k, g = rows["key"].to_numpy("int64"), rows["grp"].to_numpy("int64")
+        k, g, asks = rows["key"].to_numpy("int64"), rows["grp"].to_numpy("int64"), rows["asks"].to_numpy(bool)
         copy = _copies(v)
         if len(k):
-            keep = keep_of_copies(k, g, copy)
-            # whatever follows, here or in a batch, left at least five of its copies behind
-            many = np.isin(copy, np.flatnonzero(np.bincount(copy) >= COPIES_KEPT // 2))
+            keep = keep_of_copies(k, g, copy, settings.k)
+            # whatever follows, here or in a batch, left at least k of its copies behind
+            many = np.isin(copy, np.flatnonzero(np.bincount(copy) >= settings.k))
             if many.any():
                 at = np.flatnonzero(many & keep)
                 extra(-2, k[at], g[at], [digest(v[i]) for i in at])
             if not keep.all():
                 at = np.flatnonzero(~keep)
                 extra(-1, k[at], g[at], [digest(v[i]) for i in at])
-            k, g, v = k[keep], g[keep], v[keep]
-            y = unit(v).astype("float32") @ p
-            for leaf, at in enumerate(_split(y, np.arange(len(k)), settings.leaf_rows)):
+            k, g, v, asks = k[keep], g[keep], v[keep], asks[keep]
+            y = projections(v, p)
+            inner = Tree(y, max(0, math.ceil(math.log2(len(k) / settings.leaf_rows))))
+            leaf = inner.cell(y)
+            shape = inner.axis.astype("int32").tobytes() + inner.cut.tobytes()
+            for n in np.unique(leaf):
+                at = np.flatnonzero(leaf == n)
                 one = g[at[:1]].tobytes() if (g[at] == g[at[0]]).all() else b""
-                out.append((cell, leaf, len(at), y[at].min(0).tobytes(), y[at].max(0).tobytes(), k[at].tobytes(), g[at].tobytes(), v[at].tobytes(), b"", one))
+                out.append((cell, int(n), int(asks[at].sum()), y[at].min(0).tobytes(), y[at].max(0).tobytes(), k[at].tobytes(), g[at].tobytes(), v[at].tobytes(), b"", one, asks[at].tobytes(), shape))
+                shape = b""
         return pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.split(", ")])
 
-    path = scratch_path(spark, what)
+    path = qualified(spark, scratch_path(spark, what))
     placed = source.mapInArrow(place, _PLACED)
     placed.groupBy("cell").applyInPandas(leaves, _INDEX).write.partitionBy("cell").parquet(path)
-    boxes = spark.read.schema(_INDEX).parquet(path).where("leaf >= 0").select("cell", "low", "high").mapInPandas(_boxes(m), "cell int, low array<float>, high array<float>")
-    ends = [F.min(F.col("low")[i]).alias(f"a{i}") for i in range(m)] + [F.max(F.col("high")[i]).alias(f"b{i}") for i in range(m)]
-    cells = [(r["cell"], [r[f"a{i}"] for i in range(m)], [r[f"b{i}"] for i in range(m)]) for r in boxes.groupBy("cell").agg(*ends).collect()]
-    return Index(path, settings, cells)
-
-
-def _boxes(m: int):
-    def read(batches):
-        for rows in batches:
-            yield pd.DataFrame({"cell": rows["cell"], "low": [np.frombuffer(x, "float32") for x in rows["low"]], "high": [np.frombuffer(x, "float32") for x in rows["high"]]})
-
-    return read
+    cells = [r["cell"] for r in spark.read.schema(_INDEX).parquet(path).where("leaf >= 0").select("cell").distinct().collect()]
+    return Index(path, settings, tree, cells)
 
 
 class _Cell:
-    """A cell as read back: leaves' boxes at first, vectors when a leaf is opened."""
+    """A cell as read back: its tree and its leaves' boxes at first, vectors when a leaf is opened."""
 
     def __init__(self, fs, folder: str, m: int, dims: int):
         import pyarrow.dataset as ds
 
         self._data, self._dims, self._full = ds.dataset(folder, format="parquet", filesystem=fs), dims, None
-        t = self._data.to_table(columns=["leaf", "low", "high", "one"], filter=ds.field("leaf") >= 0)
-        self.leaf = t.column("leaf").to_numpy()
-        self.order = np.argsort(self.leaf)
-        self.leaf = self.leaf[self.order]
-        self.low, self.high = (np.frombuffer(b"".join(t.column(c).to_pylist()), "float32").reshape(-1, m)[self.order] for c in ("low", "high"))
+        t = self._data.to_table(columns=["leaf", "low", "high", "one", "tree"], filter=ds.field("leaf") >= 0)
+        leaf = t.column("leaf").to_numpy()
+        order = np.argsort(leaf)
+        self.place = {int(x): i for i, x in enumerate(leaf[order])}
+        self.low, self.high = (np.frombuffer(b"".join(t.column(c).to_pylist()), "float32").reshape(-1, m)[order] for c in ("low", "high"))
+        shape = max(t.column("tree").to_pylist(), key=len)
+        n = len(shape) // 8
+        self.depth, self.axis, self.cut = n.bit_length() - 1, np.frombuffer(shape[: 4 * n], "int32"), np.frombuffer(shape[4 * n :], "float32")
         # leaves of one group only, and that group
         one = t.column("one").to_pylist()
-        self.pure = np.array([len(x) > 0 for x in one], bool)[self.order]
-        self.one = np.frombuffer(b"".join(x or bytes(8) for x in one), "int64")[self.order]
-        self.size = self.low.nbytes * 2
+        self.pure = np.array([len(x) > 0 for x in one], bool)[order]
+        self.one = np.frombuffer(b"".join(x or bytes(8) for x in one), "int64")[order]
+        self.size = self.low.nbytes * 2 + len(shape)
 
     def vectors(self, i: int):
-        """Of the i-th leaf: keys, groups, raw vectors, unit vectors."""
+        """Of the i-th leaf: keys, groups, raw vectors, unit vectors, which are queries."""
         if self._full is None:
             import pyarrow.dataset as ds
 
-            t = self._data.to_table(columns=["leaf", "keys", "grps", "vecs"], filter=ds.field("leaf") >= 0).to_pylist()
+            t = self._data.to_table(columns=["leaf", "keys", "grps", "vecs", "asks"], filter=ds.field("leaf") >= 0).to_pylist()
             t.sort(key=lambda r: r["leaf"])
             self._full = []
             for r in t:
                 raw = np.frombuffer(r["vecs"], "float32").reshape(-1, self._dims)
                 scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
                 scaled /= np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
-                self._full.append((np.frombuffer(r["keys"], "int64"), np.frombuffer(r["grps"], "int64"), raw, scaled))
+                self._full.append((np.frombuffer(r["keys"], "int64"), np.frombuffer(r["grps"], "int64"), raw, scaled, np.frombuffer(r["asks"], "bool")))
                 self.size += 2 * raw.nbytes
         return self._full[i]
 
 
+def _file_system(path: str):
+    """pyarrow's file system for a path as Hadoop qualifies it, and the path within."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Hadoop finds it in, so that workers read it from there too."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 class _Shelf:
     """Cells that a worker remembers, the least recently used go first."""
 
     def __init__(self, index: Index):
-        from pyarrow import fs
-
-        self._fs, self._root = fs.FileSystem.from_uri(index.path) if "://" in index.path or index.path.startswith("file:") else (fs.LocalFileSystem(), index.path)
+        self._fs, self._root = _file_system(index.path)
         self.index, self._s, self._kept = index, index.settings, OrderedDict()
 
     def cell(self, number: int) -> _Cell:
@@ -337,39 +387,8 @@ class _Shelf:
         return self._kept[number]
 
 
-class ChiSquare:
-    """The chance that a vector within a distance lies at least so far off in each of some projected directions.
-
-    A projected difference of two vectors at distance d is d times a standard normal number in each direction. If a box
-    lies apart in f directions by gaps whose squares sum to g², the vector must differ by that much in the right sense:
-    at most 2^-f times the chance that chi-square with f degrees of freedom reaches g²/d².
-    """
-
-    STEP, MOST = 50, 5000
-
-    def __init__(self, most: int):
-        x = np.arange(self.MOST) / self.STEP
-        rows = [np.ones_like(x)]
-        for f in range(1, most + 1):
-            if f % 2 == 0:
-                term = np.exp(-x / 2)
-                total = term.copy()
-                for j in range(1, f // 2):
-                    term = term * (x / 2) / j
-                    total = total + term
-            else:
-                total = np.array([math.erfc(math.sqrt(v / 2)) for v in x])
-                term = np.exp(-x / 2) * np.sqrt(2 * x / math.pi)
-                for j in range(3, f + 1, 2):
-                    total, term = total + term, term * x / j
-            rows.append(total * 2.0**-f)
-        self._table = np.array(rows, "float32")
-
-    def chance(self, y_low, y_high, low, high, distance2) -> np.ndarray:
-        """For each row of the queries' boxes and each box; ``distance2`` per query."""
-        gap = np.maximum(np.maximum(low[None] - y_high[:, None], y_low[:, None] - high[None]), 0)
-        square = np.einsum("qbm,qbm->qb", gap, gap) / np.maximum(distance2, 1e-12)[:, None]
-        return self._table[(gap > 0).sum(2), np.minimum(square * self.STEP, self.MOST - 1).astype("int64")]
+#: Steps of half a power of two in which chances are sorted.
+_STEPS = 64
 
 
 class _Search:
@@ -377,47 +396,74 @@ class _Search:
 
     def __init__(self, shelf: _Shelf, leaves: list[tuple[int, int]]):
         self.index, self.shelf = shelf.index, shelf
-        s, m = self.index.settings, self.index.settings.projected
-        self.test, self.own = ChiSquare(m), list(dict.fromkeys(c for c, _ in leaves))
-        parts = []
+        s = self.index.settings
+        self.own = {}
+        parts, n = [], 0
         for number, leaf in leaves:
-            cell = shelf.cell(number)
-            parts.append(cell.vectors(int(np.searchsorted(cell.leaf, leaf))))
+            *part, asks = shelf.cell(number).vectors(shelf.cell(number).place[leaf])
+            part = [x[asks] for x in part]
+            self.own.setdefault(number, []).append((leaf, np.arange(n, n + len(part[0]))))
+            n += len(part[0])
+            parts.append(part)
         self.keys, self.groups, self.raw, self.units = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.y = self.units @ s.matrix()
-        self.leaf = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
-        first = np.flatnonzero(np.append(True, self.leaf[1:] != self.leaf[:-1]))
-        self.low, self.high = np.minimum.reduceat(self.y, first), np.maximum.reduceat(self.y, first)
+        self.y = projections(self.raw, s.matrix()) if n else np.zeros((0, s.projected), "float32")
         self.least = s.least_cosine - 1e-6
-        self.bound = np.full(len(self.keys), np.float32(self.least - 1e-6))
+        self.bound = np.full(n, np.float32(self.least - 1e-6))
         self.best = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+        self.far = chi_square_limit(s.projected, s.least_chance / 2) if s.least_chance > 0 else np.inf
+        self.seen: dict[tuple[int, int], np.ndarray] = {}
 
     def run(self):
         """Keys, groups, neighbours' keys, their groups and cosines, at most k to a query, sorted by query."""
-        cells, cut = self.index.cells, self.index.settings.least_chance
-        wide = np.full(len(self.low), 2 - 2 * self.least)
-        box = self.test.chance(self.low, self.high, self.index.low, self.index.high, wide)
-        most = dict(zip(cells.tolist(), box.max(0).tolist(), strict=True))
-        place = {int(c): i for i, c in enumerate(cells)}
-        rest = sorted((c for c in most if c not in set(self.own) and most[c] >= cut), key=lambda c: (-most[c], c))
-        for number in [*self.own, *rest]:
-            i = place[number]
-            rows = np.flatnonzero((box[:, i] >= cut)[self.leaf])
-            rows = rows[self._open(rows, self.index.low[i : i + 1], self.index.high[i : i + 1])[:, 0]]
-            if len(rows):
-                self._visit(number, rows)
+        for number, own in self.own.items():
+            self._visit(number, own)
+        chance = self.index.settings.least_chance
+        for left in (0.4, chance) if chance > 0 else (0.0,):
+            for number, wanted in self._chosen(left):
+                self._visit(number, wanted)
         return self.keys[self.best[0]], self.groups[self.best[0]], *self.best[1:]
 
-    def _open(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return self.test.chance(self.y[rows], self.y[rows], low, high, 2 - 2 * self.bound[rows]) >= self.index.settings.least_chance
-
-    def _visit(self, number: int, rows: np.ndarray) -> None:
-        s, cell = self.index.settings, self.shelf.cell(number)
-        wanted, found = self._open(rows, cell.low, cell.high), []
-        wanted &= ~(cell.pure & (self.groups[rows][:, None] == cell.one))
-        for j in np.flatnonzero(wanted.any(0)):
-            q = rows[wanted[:, j]]
-            keys, groups, raw, units = cell.vectors(int(j))
+    def _chosen(self, left: float):
+        """Per cell the leaves and the queries that open them, so that each query's closed leaves have less than ``left`` chance."""
+        tree, m, n = self.index.tree, self.index.settings.projected, len(self.keys)
+        if not n:
+            return []
+        d = np.sqrt(np.maximum(2 - 2 * self.bound.astype("float64"), 1e-12))
+        least = left * 1e-3
+        entries = []
+        everywhere = (np.full(m, -np.inf), np.full(m, np.inf))
+        for number, bounds, rows, chance in _descend(tree.depth, tree.axis, tree.cut, everywhere, self.y, d, np.ones(n), np.arange(n), least):
+            if number in self.index.cells:
+                cell = self.shelf.cell(number)
+                entries += [(number, leaf, r, c) for leaf, _, r, c in _descend(cell.depth, cell.axis, cell.cut, bounds, self.y, d, chance, rows, least) if leaf in cell.place]
+        steps = [np.minimum(-2 * np.log2(np.maximum(c, 1e-30)), _STEPS - 1).astype("int64") for *_, c in entries]
+        sums = np.zeros((n, _STEPS))
+        for (_, _, rows, chance), step in zip(entries, steps, strict=True):
+            sums[rows, step] += chance
+        # the first step at which enough is open
+        last = np.where(left > 0, (np.cumsum(sums, 1) < 1 - left).sum(1), _STEPS)
+        chosen: dict[int, list] = {}
+        for (number, leaf, rows, _), step in zip(entries, steps, strict=True):
+            on = rows[step <= last[rows]]
+            if len(on):
+                chosen.setdefault(number, []).append((leaf, on))
+        return sorted(chosen.items())
+
+    def _visit(self, number: int, wanted: list[tuple[int, np.ndarray]]) -> None:
+        s, cell, found = self.index.settings, self.shelf.cell(number), []
+        for leaf, q in wanted:
+            j = cell.place[leaf]
+            seen = self.seen.setdefault((number, leaf), np.zeros(len(self.keys), bool))
+            q = q[~seen[q]]
+            if cell.pure[j]:
+                q = q[self.groups[q] != cell.one[j]]
+            # a leaf of the query itself has no gap
+            gap = np.maximum(np.maximum(cell.low[j] - self.y[q], self.y[q] - cell.high[j]), 0)
+            q = q[np.einsum("qm,qm->q", gap, gap) <= self.far * np.maximum(2 - 2 * self.bound[q], 1e-6)] if self.far < np.inf else q
+            if not len(q):
+                continue
+            seen[q] = True
+            keys, groups, raw, units, _ = cell.vectors(j)
             for part in np.array_split(q, -(-len(q) // 2048)):
                 near = np.flatnonzero((self.units[part] @ units.T >= self.bound[part][:, None]).ravel())
                 if not len(near):
@@ -460,14 +506,14 @@ def _shelf(index: Index) -> _Shelf:
 
 
 def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key bigint, grp bigint, other bigint, other_grp bigint, cosine double") -> DataFrame:
-    """The up to k most similar vectors of other groups for each vector in the index, by cosine to six decimals.
+    """The up to k most similar vectors of other groups for each query in the index, by cosine to six decimals.
 
     Equal cosines go by the smaller key. ``each`` may reduce the rows of a task (a frame in, a frame of ``schema`` out).
 
-    Plan: a task takes a range of leaves with about ``task_rows`` queries, reads each cell from the shared folder at most
-    once, if its test demands it, and forgets cells by a bound of bytes; no vector is shuffled again.
+    Plan: a task takes a range of leaves with about ``task_rows`` queries, reads a cell from the shared folder where a
+    query may have a neighbour in it, and forgets cells by a bound of bytes; no vector is shuffled again.
     """
-    leaves = index.rows(spark).where("leaf >= 0").select("cell", "leaf", "n")
+    leaves = index.rows(spark).where("leaf >= 0 and n > 0").select("cell", "leaf", "n")
     total = leaves.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // index.settings.task_rows))
     ranged = leaves.repartitionByRange(tasks, "cell", "leaf")
@@ -488,8 +534,8 @@ def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]]
     another ``group`` with at least ``least_cosine``.
 
     Defined cases: vectors that are null, of another length, all zero or not finite, and null keys and groups take no
-    part; a key counts once; arrays may be null, empty or of unequal length; exact copies beyond five of a group or ten
-    in all take the neighbours of those that stay in the index; an empty table gives an empty result; other columns are
+    part; a key counts once; arrays may be null, empty or of unequal length; exact copies beyond k of a group or 2 k in all
+    take the neighbours of those that stay in the index; an empty table gives an empty result; other columns are
     not read.
     """
     spark = source.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.clusters import cluster, hierarchy
 from strandline.llm.spanning import forest_of, labels_of, spanning_forest
-from strandline.llm.vectors import ChiSquare, SearchSettings, similar_pairs
+from strandline.llm.vectors import SearchSettings, Tree, _descend, chi_square_limit, normal, similar_pairs
 
 DIMS = 16
 SCHEMA = "id bigint, ks array<bigint>, vs array<array<float>>, rs array<bigint>, ws array<array<float>>"
@@ -49,13 +49,17 @@ def test_forest_and_labels(spark, seed, one_task):
     assert got == {x: min(c) for x, c in comps.items()}
 
 
-def test_chi_square():
-    t = ChiSquare(4)
-    # one direction, a gap of 1.96 deviations: a tail of the normal distribution
-    p = t.chance(np.zeros((1, 1)), np.zeros((1, 1)), np.array([[1.96]]), np.array([[9.0]]), np.array([1.0]))
-    assert abs(p[0, 0] - 0.025) < 1e-3
-    p = t.chance(np.zeros((1, 4)), np.zeros((1, 4)), np.ones((1, 4)), np.full((1, 4), 9.0), np.array([4 / 9.487729]))
-    assert abs(p[0, 0] - 0.05 / 16) < 1e-4
+def test_chances():
+    assert chi_square_limit(4, 0.05) == pytest.approx(9.487729, abs=1e-4) and chi_square_limit(16, 0.01) == pytest.approx(31.9999, abs=1e-3)
+    assert normal(np.array([-9.0, -1.96, 0.0, 1.96, 9.0])) == pytest.approx([0, 0.025, 0.5, 0.975, 1], abs=1e-3)
+    rng = np.random.default_rng(1)
+    y = rng.standard_normal((4000, 4)).astype("float32")
+    tree, m = Tree(y, 5), np.full(4, np.inf)
+    found = {n: (c, b) for n, b, _, c in _descend(5, tree.axis, tree.cut, (-m, m), y[:1], np.array([0.6]), np.ones(1), np.zeros(1, int), 0.0)}
+    assert sorted(found) == list(range(32)) and sum(float(c[0]) for c, _ in found.values()) == pytest.approx(1, abs=1e-5)
+    # the chance of a leaf is the share of neighbours at that distance that fall into it
+    share = np.bincount(tree.cell(y[0] + 0.6 * rng.standard_normal((200_000, 4)).astype("float32")), minlength=32) / 200_000
+    assert max(abs(share[n] - float(c[0])) for n, (c, _) in found.items()) < 0.01
 
 
 def tracks(seed, n=400, copies=0):
@@ -127,6 +131,31 @@ def test_equal_vectors_of_a_track_have_all_neighbours(spark, delivered):
     assert got == brute(rows, 5, 0.8)
 
 
+def plain(rows):
+    return [(i, [i], [[float(np.float32(x)) for x in v]], None, None) for i, v in rows]
+
+
+def pairs_of(spark, rows, **kw):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    return {(x.key_a, x.key_b) for x in similar_pairs(df, group="id", pairs=[("ks", "vs"), ("rs", "ws")], settings=SearchSettings(dims=DIMS, **kw)).collect()}
+
+
+def test_clumps_of_equal_vectors_find_each_other(spark):
+    a, b = np.eye(DIMS)[0], 0.9 * np.eye(DIMS)[0] + np.sqrt(0.19) * np.eye(DIMS)[1]
+    rows = plain([(i, a) for i in range(10)] + [(10 + i, b) for i in range(10)])
+    assert pairs_of(spark, rows) == brute(rows, 5, 0.8) and len(brute(rows, 5, 0.8)) > 80 // 2
+    assert pairs_of(spark, rows, k=12, leaf_rows=4) == brute(rows, 12, 0.8)
+
+
+@pytest.mark.parametrize(("copies", "k"), [(8, 5), (14, 5), (8, 10), (30, 10)])
+def test_copies_of_one_group_keep_their_link(spark, copies, k):
+    base = np.eye(DIMS)[1]
+    other = 0.995 * base + np.sqrt(1 - 0.995**2) * np.eye(DIMS)[2]
+    same = [float(x) for x in base]
+    rows = [(1, list(range(copies)), [same] * copies, None, None), (2, [100], [[float(np.float32(x)) for x in other]], None, None)]
+    assert pairs_of(spark, rows, k=k, least_chance=0.0) == brute(rows, k, 0.8) == {(i, 100) for i in range(copies)}
+
+
 def test_similar_pairs_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert similar_pairs(df, group="id", pairs=[("ks", "vs")], settings=SearchSettings(dims=DIMS)).collect() == []
