@@ -63,7 +63,7 @@ best as (select * from (select * from b union all select * from f) where abs(d)
 _FULL = "０１２３４５６７８９ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
 _PLAIN = "0123456789abcdefghijklmnopqrstuvwxyz"
 _ALIKE, _LATIN = "авсеніјкморѕтухԁԛԝ", "abcehijkmopstyxdqw"
-LETTERS_SQL = f"regexp_replace(translate(strip_accents(lower(category)), '{_FULL}{_ALIKE}', '{_PLAIN}{_LATIN}'), '[^a-z]', '', 'g')"
+LETTERS_SQL = f"regexp_replace(translate(strip_accents(lower(category)), '{_FULL}{_ALIKE}', '{_PLAIN}{_LATIN}'), '[^\\pL]', '', 'g')"
 _RUNS = f"""
 with spelt as (select distinct category, {LETTERS_SQL} as f from samples where category is not null),
 named as (select category as entry, {LETTERS_SQL} as g from category_list),

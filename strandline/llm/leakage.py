@@ -20,23 +20,42 @@ SUFFIX = 3
 class PassageSearch:
     """Wu-Manber search over words for all passages of ``least`` consecutive words of the items.
 
-    The shift table tells from the last three words of the window how far it may move without passing a match; a shift of
-    nothing opens the bucket of that suffix, whose passages are compared word by word.
+    The shift table tells from the last words of the window (three, fewer where a pattern is shorter) how far it may move
+    without passing a match; a shift of nothing opens the bucket of that suffix, whose passages are compared word by word.
+    An item of fewer words is a pattern as a whole: such items are searched with windows of their own length.
     """
 
     def __init__(self, items: Iterable[tuple[int, str]], least: int):
-        self.least, self.number = least, {}
-        passages: dict[tuple, list] = defaultdict(list)
+        self.number: dict[str, int] = {}
+        passages: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             own = [self.number.setdefault(w, len(self.number)) for w in words(text)]
-            for i in range(len(own) - least + 1):
-                owners = passages[tuple(own[i : i + least])]
+            size = min(least, len(own))
+            for i in range(len(own) - size + 1 if own else 0):
+                owners = passages[size][tuple(own[i : i + size])]
                 if not owners or owners[-1] != item:
                     owners.append(item)
         self.base = len(self.number) + 1
+        self.windows = [_Window(size, found, self.base) for size, found in sorted(passages.items())]
+
+    def find(self, text: str | None) -> set[int]:
+        """The items of which the text holds a passage."""
+        found: set[int] = set()
+        if self.windows and text:
+            get = self.number.get
+            ids = [get(w, -1) for w in words(text)]
+            for window in self.windows:
+                window.find(ids, found)
+        return found
+
+
+class _Window:
+    """Shift table and buckets of the patterns of one length."""
+
+    def __init__(self, least: int, passages: dict[tuple, list], base: int):
+        self.least, self.block, self.base = least, min(SUFFIX, least), base
         self.shift: dict[int, int] = {}
         self.buckets: dict[int, list] = defaultdict(list)
-        self.block = min(SUFFIX, least)
         for passage, owners in passages.items():
             for end in range(self.block - 1, least):
                 h = self._hash(passage, end)
@@ -51,13 +70,8 @@ class PassageSearch:
             h = h * self.base + ids[i]
         return h
 
-    def find(self, text: str | None) -> set[int]:
-        """The items of which the text holds a passage."""
-        found: set[int] = set()
-        if not self.buckets or not text:
-            return found
-        get, least, block, base = self.number.get, self.least, self.block, self.base
-        ids = [get(w, -1) for w in words(text)]
+    def find(self, ids: list[int], found: set[int]) -> None:
+        least, block, base = self.least, self.block, self.base
         at, n, free = least - 1, len(ids), least - block + 1
         while at < n:
             h, i = 0, at
@@ -80,22 +94,21 @@ class PassageSearch:
                 if passage == window:
                     found.update(owners)
             at += 1
-        return found
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, doc_text: str, item_id: str, item_text: str, least: int = 12, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """All (item, document) where the document holds at least ``least`` consecutive words of the item.
+    """All (item, document) where the document holds at least ``least`` consecutive words of the item, or all of a shorter one.
 
     Letter case, accents, width, punctuation, markup, invisible characters, line layout and words broken at a line's end
     make no difference (see ``text.words``). Result: ``item_id``, ``doc_id`` under their own names, each pair once for
     each row of the document.
 
-    Defined cases: null and empty texts hold nothing; an item of fewer words has no passage; null ids take no part; extra
+    Defined cases: null and empty texts hold nothing, and an item without a word is in no document; null ids take no part; extra
     columns are not read; empty tables give an empty result.
 
-    Plan: no shuffle. The items are a test set; they reach the tasks in blocks of at most ``block_chars`` characters (and
-    one item more), each with a pass over the documents, so that the tables in memory stay bounded. Documents are read
-    whole.
+    Plan: no shuffle. The items are a test set; they reach the tasks in blocks of about ``block_chars`` characters, each with
+    a pass over the documents, so that the tables in memory stay bounded (about 0.3 kB a character and worker). Documents
+    are read whole.
     """
     own = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().where(F.length("t") > 0)
     kinds = (items.schema[item_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString())

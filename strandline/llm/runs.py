@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import letters
+from strandline.llm.text import folded, letters
 from strandline.operators.range_scan import Scanner, range_sorted, scan
 
 #: Spellings a worker remembers at most.
@@ -38,21 +38,34 @@ def edits(a: str, b: str) -> int:
     return score
 
 
-def _bags(names: Sequence[str]) -> np.ndarray:
-    out = np.zeros((len(names), 26), "int16")
+def _bags(names: Sequence[str], place: dict[str, int]) -> np.ndarray:
+    """How often each letter stands in each name; letters that no entry has share a last place."""
+    out = np.zeros((len(names), len(place) + 1), "int16")
     for i, s in enumerate(names):
         for c in s:
-            out[i, ord(c) - 97] += 1
+            out[i, place.get(c, len(place))] += 1
     return out
 
 
+def _signs(text: str) -> str:
+    """Everything of a folded text but white space: tells entries apart whose letters are the same."""
+    return "".join(folded(text).split())
+
+
 class Vocabulary:
-    """Gives each spelling the entry it names: at most ``max_edits`` letter edits away, the nearest one, if only one is."""
+    """Gives each spelling the entry it names: at most ``max_edits`` letter edits away, the nearest one.
+
+    Where several are equally near by their letters, that which is nearest in all its signs (digits, punctuation) is named,
+    then the first in the order of the alphabet, so that no spelling near to an entry is lost. An entry without letters
+    is named by its own signs only.
+    """
 
     def __init__(self, entries: Sequence[str], max_edits: int = 2):
-        self.entries = sorted({e for e in entries if e})
-        self.folded = [letters(e) for e in self.entries]
-        self.max_edits, self.bags, self.known = max_edits, _bags(self.folded), {}
+        self.entries = sorted({e for e in entries if e and _signs(e)})
+        self.folded, self.signs = [letters(e) for e in self.entries], [_signs(e) for e in self.entries]
+        self.place = {c: i for i, c in enumerate(sorted(set("".join(self.folded))))}
+        self.max_edits, self.bags, self.known = max_edits, _bags(self.folded, self.place), {}
+        self.bare = {s: j for j, s in reversed(list(enumerate(self.signs))) if not self.folded[j]}
 
     def codes(self, spellings: Sequence[str]) -> np.ndarray:
         """The entry's number of each spelling, -1 where it names none."""
@@ -63,11 +76,15 @@ class Vocabulary:
                 new = list(dict.fromkeys(spellings))
             own = [letters(s) for s in new]
             # an edit changes the letter counts by two at most
-            near = np.abs(_bags(own)[:, None, :] - self.bags[None]).sum(2) <= 2 * self.max_edits
+            near = np.abs(_bags(own, self.place)[:, None, :] - self.bags[None]).sum(2) <= 2 * self.max_edits
             for i, (s, f) in enumerate(zip(new, own, strict=True)):
-                got = sorted((edits(f, self.folded[j]), j) for j in np.flatnonzero(near[i]))
-                got = [x for x in got if x[0] <= self.max_edits]
-                self.known[s] = int(got[0][1]) if got and (len(got) == 1 or got[0][0] < got[1][0]) else -1
+                got = [(edits(f, self.folded[j]), j) for j in np.flatnonzero(near[i]).tolist() if f and self.folded[j]]
+                least = min((d for d, _ in got), default=self.max_edits + 1)
+                if least > self.max_edits:
+                    self.known[s] = self.bare.get(_signs(s), -1)
+                    continue
+                tied = [j for d, j in got if d == least]
+                self.known[s] = tied[0] if len(tied) == 1 else min((edits(_signs(s), self.signs[j]), j) for j in tied)[1]
         return np.array([self.known[s] for s in spellings], "int64")
 
 

@@ -18,7 +18,7 @@ _UNSEEN = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­͏؜᠎​-‏‪-‮
 _BROKEN = re.compile("(?<=[^\\W_])[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t>|　 ]*(?=[^\\W_])")
 _TAG = re.compile(r"</?[a-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-_LETTERS = re.compile(r"[^a-z]+")
+_LETTERS = re.compile(r"[\W\d_]+")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿]")
 
 
@@ -54,5 +54,5 @@ def words(text: str | None) -> list[str]:
 
 
 def letters(text: str) -> str:
-    """Only the letters a to z of a folded text."""
+    """Only the letters of a folded text, of whatever script."""
     return _LETTERS.sub("", folded(text))

@@ -22,10 +22,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_neighbours(spark, sf).select("key_a", "key_b")
 
 
-def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+#: Tracks further apart than the radius aren't linked; below half of it no cluster is split; a core has three tracks.
+RADIUS, EPSILON, LEAST_POINTS = 0.2, 0.1, 3
+
+
+def _clusters(spark: SparkSession, sf: str, **more) -> DataFrame:
     """Clusters with the shots of their tracks, those seen in at least two shots."""
     track = table(spark, sf, "track")
-    found = cluster(track, key="id", vectors="vectors", radius=0.2)
+    found = cluster(track, key="id", vectors="vectors", radius=RADIUS, epsilon=EPSILON, least_points=LEAST_POINTS, **more)
     shot = track.select(F.col("id").alias("key"), "source_id", "shot_id").dropDuplicates(["key"])
     return cut_lineage(found.join(shot, "key"))
 
@@ -41,8 +45,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Each cluster with its numbers of tracks and of shots and its three most persistent tracks."""
-    members = _clusters(spark, sf)
+    """Each cluster with its numbers of tracks and of shots and its three most persistent tracks; every round of Borůvka's
+    method is distributed here, however few edges are left."""
+    members = _clusters(spark, sf, one_task=0)
     first = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("persistence"), "key"))
     typical = members.where("typical").withColumn("place", first).where("place <= 3").groupBy("cluster_id").agg(F.sort_array(F.collect_list("key")).alias("typical_tracks"))
     return _described(members).join(typical, "cluster_id")

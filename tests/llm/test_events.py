@@ -50,6 +50,22 @@ def test_edits_and_spellings():
     ]
 
 
+def test_entries_that_differ_in_signs_or_script_are_told_apart():
+    names = ["take 1", "take 2", "broad", "bread", "сцена", "シーン", "12", "42"]
+    v = Vocabulary(names)
+    spelt = ["Take-1", "TAKE_2", "tak 2", "take", "brod", "СЦЕНА", "сцен", "シーン", "12", "4 2", "77", "walk"]
+    got = [v.entries[c] if c >= 0 else None for c in v.codes(spelt)]
+    # what is equally near to two is named by its signs, then by the alphabet; nothing near is lost
+    assert got == ["take 1", "take 2", "take 2", "take 1", "broad", "сцена", "сцена", "シーン", "12", "42", None, None]
+
+
+def test_an_ambiguous_spelling_stays_in_its_run(spark):
+    rows = [(i, 1, i * 1.0, c) for i, c in enumerate(["take 1", "take", "take1", "take 2", "take 2"])]
+    df = spark.createDataFrame(rows, "id bigint, src bigint, t double, cat string")
+    got = collapse_runs(df, entity="src", time="t", key="id", label="cat", entries=["take 1", "take 2"]).collect()
+    assert sorted((x.first_id, x.last_id, x.n, x.category) for x in got) == [(0, 2, 3, "take 1"), (3, 4, 2, "take 2")]
+
+
 def test_folding():
     assert folded("ĐẾM Gemäß ＡＢ") == folded("đem gemass ab")
     assert words("Pro­jector, GRI-\nEBOFEN <em>x</em> **y** a_b​c") == ["projector", "griebofen", "x", "y", "a", "bc"]

@@ -88,6 +88,14 @@ def test_leak_variants(spark):
     assert find_leaks(docs, items.limit(0), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text").collect() == []
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    ten = "the quick brown fox jumps over one very lazy dog"
+    docs = spark.createDataFrame([(1, f"so {ten.upper()}, he said"), (2, ten.replace("lazy", "tired")), (3, "fox jumps"), (4, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, ten), (2, "Fox, jumps"), (3, "..."), (4, ITEM)], "item_id bigint, text string")
+    got = find_leaks(docs, items, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text").collect()
+    assert {tuple(x) for x in got} == {(1, 1), (2, 1), (2, 2), (2, 3)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_passage_search_against_brute_force(seed):
     r = random.Random(seed)
@@ -97,8 +105,13 @@ def test_passage_search_against_brute_force(seed):
     for _ in range(60):
         text = " ".join(r.choice(vocab + "zzz"[: r.choice([0, 1])]) for _ in range(r.randint(0, 60)))
         w = words(text)
-        windows = {tuple(w[k : k + least]) for k in range(len(w) - least + 1)}
-        want = {i for i, t in items if any(tuple(words(t)[k : k + least]) in windows for k in range(len(words(t)) - least + 1))}
+        want = set()
+        for i, t in items:
+            # an item of fewer words counts as a whole
+            own, size = words(t), min(least, len(words(t)))
+            windows = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+            if size and any(tuple(own[k : k + size]) in windows for k in range(len(own) - size + 1)):
+                want.add(i)
         assert search.find(text) == want
 
 
@@ -137,3 +150,47 @@ def test_a_tag_of_any_length_is_no_word():
     from strandline.llm.text import words
 
     assert words("one <a href='" + "x/" * 500 + "'>two</a> three") == ["one", "two", "three"]
+
+
+def pieces_of(text, limit, overlap=0):
+    return [text[f:e] for _, f, e, _ in split_text(text, tokenizer(TOKENIZER), limit, overlap)]
+
+
+def test_no_piece_runs_from_the_tail_of_one_section_into_the_next():
+    long = "# One\n\n" + "A sentence of some words stands here. " * 260 + "\n\n"
+    short = "# Two\n\n" + "Another one. " * 60
+    pieces = pieces_of(long + short, 600)
+    assert pieces[-1] == short and "".join(pieces) == long + short
+    # whole siblings are merged
+    assert pieces_of("intro words here\n\n" + long + short + "\n\n# Three\n\nend of it.", 600)[-1] == short + "\n\n# Three\n\nend of it."
+
+
+def test_fences_are_whole_and_hold_no_headings():
+    fence = "```\n# a comment\n" + "x = 1\n" * 30 + "```\n"
+    text = "Some text before. " * 20 + "\n\n" + fence + "\n" + "Some text after. " * 20
+    assert fence + "\n" in pieces_of(text, 150)
+    assert not any(p.startswith("# a comment") for p in pieces_of(text, 60))
+    # a fence that is never closed is text
+    assert "".join(pieces_of("```\n" + "word " * 200, 50)) == "```\n" + "word " * 200
+
+
+def test_headings_of_all_kinds_and_levels_are_sections():
+    body = "Words of a body. " * 8 + "\n\n"
+    heads = ["Top\n===\n\n", "Under\n---\n\n", "### Three\n\n", "#### Four\n\n", "##### Five\n\n", "###### Six\n\n", "<h2>Tagged</h2>\n\n"]
+    parts = [h + body for h in heads]
+    assert pieces_of("".join(parts), 70) == parts
+    # a section goes with its subsections where they fit together
+    text = "# A\n\n" + body + "## A1\n\n" + body + "# B\n\n" + body
+    assert pieces_of(text, 110) == [text[: text.index("# B")], text[text.index("# B") :]]
+
+
+def test_lists_nest_and_brackets_divide():
+    items = ["- item %d\n" % i + "".join(f"  - sub {i}.{j} with words\n" for j in range(6)) for i in range(5)]
+    assert pieces_of("".join(items), 80) == items
+    import json
+
+    text = json.dumps([{"k": i, "deep": {"a": list(range(8)), "b": "x, y"}} for i in range(12)])
+    pieces = pieces_of(text, 70)
+    assert "".join(pieces) == text and all(p.lstrip(" [").startswith("{") for p in pieces)
+    text = "<doc>" + "".join(f"<p>Paragraph {i} has <b>some</b> words in it.</p>" for i in range(12)) + "</doc>"
+    assert all(p.startswith(("<doc><p>", "<p>")) for p in pieces_of(text, 60))

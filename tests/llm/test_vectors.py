@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm.clusters import cluster, hierarchy
+from strandline.llm.clusters import cluster, density_forest, hierarchy
 from strandline.llm.spanning import forest_of, labels_of, spanning_forest
 from strandline.llm.vectors import SearchSettings, Tree, _descend, chi_square_limit, normal, similar_pairs
 
@@ -230,3 +230,63 @@ def test_hierarchy_selects_stable_clusters():
     assert persistence[5] == pytest.approx(50) and persistence[0] == pytest.approx(100) and not typical[5] and typical[0]
     label, _, _ = hierarchy(np.arange(1, 7), np.ones(6, int), u, v, w, 0.2, 2, 0.2)
     assert len(set(label)) == 1 and label[0] >= 0
+
+
+VS = "id bigint, vs array<array<float>>"
+
+
+def true_forest(vectors, radius, least_points):
+    """Weights of the minimum spanning forest of all pairs, and its trees."""
+    m = np.float32(vectors).astype(float)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    d = 1 - np.round(u @ u.T, 6)
+    near = np.where(d <= radius + 1e-9, d, radius)
+    np.fill_diagonal(near, 0)
+    core = np.sort(near, 1)[:, least_points - 1]
+    edges = [(a, b, max(d[a, b], core[a], core[b])) for a in range(len(u)) for b in range(a) if d[a, b] <= radius + 1e-9]
+    return kruskal(edges)
+
+
+def members(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.cluster_id, set()).add(r.key)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("one_task", [0, 50_000])
+@pytest.mark.parametrize("least_points", [2, 4])
+def test_the_forest_is_that_of_all_pairs(spark, one_task, least_points):
+    # two tight clumps near each other and both near a loose ring: their own link is in no list of the nearest
+    rng = np.random.default_rng(8)
+    e = np.eye(DIMS)
+    vs = [v + 1e-3 * rng.standard_normal(DIMS) for v in [e[0]] * 12 + [e[0] + 0.3 * e[1]] * 12]
+    vs += [e[0] + 0.5 * e[2 + i % 6] + 0.02 * rng.standard_normal(DIMS) for i in range(14)] + [e[9] + 0.1 * rng.standard_normal(DIMS) for _ in range(3)]
+    rows = [(i, [[float(np.float32(x)) for x in v]]) for i, v in enumerate(vs)]
+    forest = density_forest(spark.createDataFrame(rows, VS), key="id", vectors="vs", radius=0.2, k=4, least_points=least_points, dims=DIMS, one_task=one_task).collect()
+    want = true_forest([r[1][0] for r in rows], 0.2, least_points)
+    assert len(forest) == len(want)
+    assert sorted(x.w for x in forest) == pytest.approx(sorted(w for _, _, w in want), abs=3e-6)
+
+
+def test_arcs_whose_ends_are_near_are_one_tree(spark):
+    e = np.eye(DIMS)
+    arc = lambda t, sign: np.cos(t) * e[0] + sign * np.sin(t) * e[1]
+    # the smallest keys lie at the far ends, the nearest ends are 0.079 apart
+    vs = [arc(1.2 - i * 0.025, 1) for i in range(40)] + [arc(1.2 - i * 0.025, -1) for i in range(40)]
+    df = spark.createDataFrame([(i, [[float(x) for x in v]]) for i, v in enumerate(vs)], VS)
+    got = cluster(df, key="id", vectors="vs", dims=DIMS, radius=0.2, epsilon=0.2, least_points=2, k=4).collect()
+    assert members(got) == [list(range(80))]
+
+
+def test_clusters_of_unequal_density_are_told_apart(spark):
+    rng, e = np.random.default_rng(2), np.eye(DIMS)
+    tight = [e[0] + 0.01 * rng.standard_normal(DIMS) for _ in range(30)]
+    loose = [e[0] + 0.75 * e[1] + 0.05 * rng.standard_normal(DIMS) for _ in range(30)]
+    bridge = [e[0] + 0.35 * e[1]]
+    df = spark.createDataFrame([(i, [[float(x) for x in v]]) for i, v in enumerate(tight + loose + bridge)], VS)
+    got = members(cluster(df, key="id", vectors="vs", dims=DIMS, radius=0.2, epsilon=0.0, least_points=4, least_size=5).collect())
+    # the bridge may go to either
+    assert [[x for x in c if x < 60] for c in got] == [list(range(30)), list(range(30, 60))]
+    # as components of all pairs within the radius they'd be one
+    assert members(cluster(df, key="id", vectors="vs", dims=DIMS, radius=0.2, epsilon=0.2, least_points=2).collect()) == [list(range(61))]
