@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.ordered_scan import running
 from strandline.operators.periods import periods_and_gaps
 
 
@@ -63,20 +64,7 @@ def ranked_exposure(exposures: DataFrame, *, least: int, target: float) -> DataF
     Scanning by rank, an eligible key (at least ``least``) is main while the eligible keys before it cover less than
     ``target`` of all. One row per key; only their order is global.
     """
-    total = exposures.agg(F.sum("exposure").alias("total"))
-    order = Window.orderBy(F.desc("exposure"), "series")
-    eligible = F.when(F.col("exposure") >= least, F.col("exposure")).otherwise(0)
-    before = F.coalesce(F.sum(eligible).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = exposures.crossJoin(F.broadcast(total)).withColumn("rank", F.row_number().over(order)).withColumn("before", before)
-    return ranked.select("series", "exposure", "rank", ((F.col("exposure") >= least) & (F.col("before") < F.col("total") * target)).alias("is_main"))
-
-
-def greedy_separated(df: DataFrame, *, series: str, start: str, key: str, gap: int) -> DataFrame:
-    """First come, first kept: rows whose start lies at least ``gap`` after the last kept one of the series (SR8).
-
-    Order-dependent, so a fold over the ordered rows of a group; callers keep groups bounded (here a series and a month).
-    """
-    rows = df.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("t"), F.col(key).alias("k")))).alias("a"))
-    step = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x["t"] - F.element_at(acc, -1)["t"] >= gap, F.concat(acc, F.array(x))).otherwise(acc)
-    empty = F.slice("a", 1, 0)
-    return rows.select(series, F.explode(F.aggregate("a", empty, step)).alias("x")).select(series, F.col("x.t").alias(start), F.col("x.k").alias(key))
+    total = exposures.agg(F.sum("exposure")).first()[0] or 0
+    ranked = exposures.withColumn("__o", -F.col("exposure")).withColumn("__one", F.lit(1).cast("bigint")).withColumn("__e", F.when(F.col("exposure") >= least, F.col("exposure")).otherwise(0))
+    ranked = running(running(ranked, ["__o", "series"], "__e", "__before"), ["__o", "series"], "__one", "__rank")
+    return ranked.select("series", "exposure", (F.col("__rank") + 1).cast("int").alias("rank"), ((F.col("exposure") >= least) & (F.col("__before") < total * target)).alias("is_main"))

@@ -19,22 +19,8 @@ BLOCK = 86_400_000_000
 def _carried(blocked: DataFrame, series: str, summary: Column, take, back: bool) -> DataFrame:
     """Per (series, __b): what the blocks before (or, if not ``back``, behind) it hand over; one row per block."""
     per = blocked.groupBy(series, "__b").agg(summary.alias("__own"))
-    frame = (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
-    return per.select(series, "__b", take(F.col("__own")).over(Window.partitionBy(series).orderBy("__b").rowsBetween(*frame)).alias("__carry"))
-
-
-def last_known(df: DataFrame, *, series: str, time: str, order: list, value: str, back: bool = True, block: int = BLOCK) -> DataFrame:
-    """Adds ``known``: the last value that isn't null at or before a row in ``order`` (or the first at or behind it).
-
-    ``value`` is a struct that sorts as its rows do. The order is resolved within blocks of time; what passes from block
-    to block is one row per block. The join with it uses the partitioning of the window.
-    """
-    blocked = df.withColumn("__b", F.floor(F.col(time) / block))
-    inner = Window.partitionBy(series, "__b").orderBy(*order)
-    own = F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first(value, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
-    pick = (lambda x: F.last(x, ignorenulls=True)) if back else (lambda x: F.first(x, ignorenulls=True))
-    carried = _carried(blocked, series, F.max(value) if back else F.min(value), pick, back)
-    return blocked.withColumn("__known", own).join(carried, [series, "__b"]).withColumn("known", F.coalesce("__known", "__carry")).drop("__b", "__known", "__carry")
+    earlier = Window.partitionBy(series).orderBy("__b" if back else F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(series, "__b", take(F.col("__own")).over(earlier).alias("__carry"))
 
 
 def running_sum(df: DataFrame, *, series: str, time: str, order: list, value: Column, name: str, inclusive: bool, block: int = BLOCK) -> DataFrame:
@@ -50,45 +36,76 @@ def weights(df: DataFrame, *, series: str, time: str, key: str, interval: int, b
     """Adds ``w``: how long a row holds, up to the next row of its series but at most ``interval`` (WN12, WN13)."""
     blocked = df.withColumn("__b", F.floor(F.col(time) / block))
     nxt = F.lead(time).over(Window.partitionBy(series, "__b").orderBy(time, key))
-    carried = _carried(blocked, series, F.min(time), lambda x: F.first(x, ignorenulls=True), False)
+    carried = _carried(blocked, series, F.min(time), lambda x: F.last(x, ignorenulls=True), False)
     held = blocked.withColumn("__n", nxt).join(carried, [series, "__b"])
     return held.withColumn("w", F.least(F.coalesce(F.coalesce("__n", "__carry") - F.col(time), F.lit(interval)), F.lit(interval))).drop("__b", "__n", "__carry")
 
 
-def integral_means(points: DataFrame, windows: DataFrame, *, interval: int) -> DataFrame:
+def integral_means(points: DataFrame, windows: DataFrame, *, interval: int, block: int = BLOCK) -> DataFrame:
     """Mean of a step function over windows (C2): ``points`` (series, us, value, key), ``windows`` (series, a, b).
 
-    A point holds its value until the next one, at most ``interval``; holes count as 0. Prefix sums and two as-of lookups
-    by one sort of tagged rows replace the join of points with windows.
+    A point holds its value until the next one, at most ``interval``; holes count as 0.
+
+    Plan: points and the windows' edges are united and sorted once, by (series, block of time). Within a block windows give
+    the next point, the integral so far and the last point; one row per block hands these on to the next blocks. So a hot
+    series spreads over its blocks, and rows are shuffled once; only edges are shuffled again, to their windows.
     """
-    held = weights(points, series="series", time="us", key="key", interval=interval)
-    prefix = running_sum(held, series="series", time="us", order=["us", "key"], value=F.col("value") * F.col("w"), name="p", inclusive=False)
-    tagged = prefix.select("series", "us", F.lit(0).alias("tag"), F.struct("us", "key", "value", "w", "p").alias("row"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), "key")
-    edge = windows.select("series", F.explode(F.array("a", "b")).alias("us"), F.lit(1).alias("tag"), F.lit(None).cast(tagged.schema["row"].dataType).alias("row"), "a", "b", F.lit(None).cast("bigint").alias("key"))
-    both = tagged.unionByName(edge)
-    at = last_known(both, series="series", time="us", order=["us", "tag", "key"], value="row").withColumnRenamed("known", "l").where("tag = 1")
-    value = F.coalesce(F.col("l.p") + F.col("l.value") * F.least(F.col("us") - F.col("l.us"), F.col("l.w")), F.lit(0.0))
+    none = lambda kind: F.lit(None).cast(kind)
+    edge = windows.select("series", F.explode(F.array("a", "b")).alias("us"), F.lit(1).alias("tag"), none("bigint").alias("key"), none("double").alias("value"), "a", "b")
+    both = points.select("series", "us", F.lit(0).alias("tag"), F.col("key").cast("bigint").alias("key"), F.col("value").cast("double").alias("value"), none("bigint").alias("a"), none("bigint").alias("b")).unionByName(edge)
+    both = both.withColumn("__b", F.floor(F.col("us") / block))
+    point = F.col("tag") == 0
+    ahead = Window.partitionBy("series", "__b").orderBy(F.desc("us"), F.desc("tag"), F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("series", "__b").orderBy("us", "tag", "key")
+    held = F.least(F.last(F.when(point, F.col("us")), ignorenulls=True).over(ahead) - F.col("us"), F.lit(interval))
+    both = both.withColumn("w", F.when(point, held)).withColumn("p", F.coalesce(F.sum(F.col("value") * F.col("w")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    both = both.withColumn("l", F.last(F.when(point, F.struct("us", "value", "w", "p")), ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+
+    blocks = both.groupBy("series", "__b").agg(F.min(F.when(point, F.col("us"))).alias("first"), F.max(F.when(point, F.struct("us", "key", "value", "p"))).alias("last"))
+    later = Window.partitionBy("series").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("series").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    hold = F.coalesce(F.least(F.last("first", ignorenulls=True).over(later) - F.col("last.us"), F.lit(interval)), F.lit(interval))
+    blocks = blocks.withColumn("hold", hold).withColumn("before", F.coalesce(F.sum(F.col("last.p") + F.col("last.value") * F.col("hold")).over(earlier), F.lit(0.0)))
+    carry = F.when(F.col("last").isNotNull(), F.struct("last.us", "last.value", F.col("hold").alias("w"), (F.col("before") + F.col("last.p")).alias("p")))
+    blocks = blocks.withColumn("c", F.last(carry, ignorenulls=True).over(earlier)).select("series", "__b", "hold", "before", "c")
+
+    at = both.where("tag = 1").join(blocks, ["series", "__b"])
+    own = F.struct("l.us", "l.value", F.coalesce("l.w", "hold").alias("w"), (F.col("before") + F.col("l.p")).alias("p"))
+    at = at.withColumn("x", F.when(F.col("l").isNotNull(), own).otherwise(F.col("c")))
+    value = F.coalesce(F.col("x.p") + F.col("x.value") * F.least(F.col("us") - F.col("x.us"), F.col("x.w")), F.lit(0.0))
     found = at.groupBy("series", "a", "b").agg(F.max(F.when(F.col("us") == F.col("b"), value)).alias("fb"), F.max(F.when(F.col("us") == F.col("a"), value)).alias("fa"))
     return found.select("series", "a", "b", ((F.col("fb") - F.col("fa")) / (F.col("b") - F.col("a"))).alias("mean"))
 
 
-def as_of(left: DataFrame, right: DataFrame, *, direction: str, tolerance: int | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, *, direction: str, tolerance: int | None = None, block: int = BLOCK) -> DataFrame:
     """For each left row (series, us, key) the right row (series, us, key) that is nearest in a direction (JN12, SRC3).
 
     ``backward`` takes the last at or before, ``forward`` the first at or after, ``nearest`` the nearer of both (the
-    earlier of two). Result: ``series``, ``key``, ``us``, ``found_key``, ``found_us``; left rows without one stay, with
-    nulls. Both tables are tagged, united and sorted by blocks of time (:func:`last_known`), so a
-    hot series is no hot task.
+    earlier of two); of right rows at one time the smallest key. Result: ``series``, ``key``, ``us``, ``found_key``,
+    ``found_us``; left rows without one stay, with nulls.
+
+    Plan: both tables are tagged, united and sorted once, by (series, block of time); one row per block hands on the last
+    and the first right row, so a hot series is no hot task.
     """
-    right = right.groupBy("series", "us").agg(F.min("key").alias("key"))
-    tag = lambda df, n: df.select("series", "us", "key", F.lit(n).alias("tag"), F.when(F.lit(n) == 1, F.struct("us", "key")).alias("row"))
-    both = tag(left, 0).unionByName(tag(right, 1))
+    tag = lambda df, n: df.select("series", "us", "key", F.lit(n).alias("tag"))
+    both = tag(right, 0).unionByName(tag(left, 1)).withColumn("__b", F.floor(F.col("us") / block))
+    row = F.when(F.col("tag") == 0, F.struct("us", "key"))
+    own = lambda order: F.last(row, ignorenulls=True).over(Window.partitionBy("series", "__b").orderBy(order, "tag", F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
+    hand = lambda x, order: F.last(x, ignorenulls=True).over(Window.partitionBy("series").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max(F.when(F.col("tag") == 0, F.struct("us", (-F.col("key")).alias("key"))))
+    blocks, sides = both.groupBy("series", "__b").agg(last.alias("hi"), F.min(row).alias("lo")), []
+    blocks = blocks.withColumn("hi", F.when(F.col("hi").isNotNull(), F.struct("hi.us", (-F.col("hi.key")).alias("key"))))
     if direction in ("backward", "nearest"):
-        both = last_known(both, series="series", time="us", order=["us", F.desc("tag")], value="row").withColumnRenamed("known", "b")
+        both, blocks = both.withColumn("b", own(F.col("us"))), blocks.withColumn("cb", hand("hi", "__b"))
+        sides.append("b")
     if direction in ("forward", "nearest"):
-        both = last_known(both, series="series", time="us", order=["us", "tag"], value="row", back=False).withColumnRenamed("known", "f")
-    nearer = F.when(F.col("f").isNull() | (F.col("us") - F.col("b.us") <= F.col("f.us") - F.col("us")), F.col("b")).otherwise(F.col("f")) if direction == "nearest" else F.col("b" if direction == "backward" else "f")
-    found = both.where("tag = 0").withColumn("x", nearer)
+        both, blocks = both.withColumn("f", own(F.desc("us"))), blocks.withColumn("cf", hand("lo", F.desc("__b")))
+        sides.append("f")
+    found = both.where("tag = 1").join(blocks.drop("hi", "lo"), ["series", "__b"])
+    for x in sides:
+        found = found.withColumn(x, F.coalesce(x, f"c{x}"))
+    nearer = F.when(F.col("f").isNull() | (F.col("us") - F.col("b.us") <= F.col("f.us") - F.col("us")), F.col("b")).otherwise(F.col("f")) if len(sides) == 2 else F.col(sides[0])
+    found = found.withColumn("x", nearer)
     if tolerance is not None:
         found = found.withColumn("x", F.when(F.abs(F.col("x.us") - F.col("us")) <= tolerance, F.col("x")))
     return found.select("series", "key", "us", F.col("x.key").alias("found_key"), F.col("x.us").alias("found_us"))

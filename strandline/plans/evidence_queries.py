@@ -10,7 +10,7 @@ from strandline.functions import maths as M
 from strandline.operators import graph
 from strandline.operators.islands import islands
 from strandline.operators.series import weights
-from strandline.plans.relational_queries import _pairs
+from strandline.plans.relational_queries import _alike
 from strandline.sources.tables import observations, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -100,7 +100,7 @@ def run_midpoints(spark, sf):
 
 @query("reference_agreement", "with e as (select vec_id, label, vec_id % 40 as track, embedding::double[] as v from embeddings), p as (select a.track, b.label, list_cosine_similarity(a.v, b.v) as c, a.vec_id from e a join e b on a.label = b.label and a.vec_id <> b.vec_id), m as (select track, label, vec_id, max(c) as c from p group by all) select track, label, count(*) as n from m group by all having count(*) >= 2 and avg(case when c >= 0.25 then 1.0 else 0 end) >= 0.75")
 def reference_agreement(spark, sf):
-    m = _pairs(spark, sf).groupBy("a", "label").agg(F.max("c").alias("c"))
+    m = _alike(spark, sf, k=1).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"), "label"), "a")
     g = m.groupBy((F.col("a") % 40).alias("track"), "label").agg(F.count("*").alias("n"), F.avg(F.when(F.col("c") >= 0.25, 1.0).otherwise(0.0)).alias("share"))
     return g.where("n >= 2 and share >= 0.75").select("track", "label", "n")
 
@@ -111,9 +111,9 @@ def same_owner_everywhere(spark, sf):
     return s.groupBy("sig").agg(F.count("*").alias("members"), F.min("o_custkey").alias("first"))
 
 
-@query("unconflicted_names", "select regexp_extract(p_brand, '#(\\d+)', 1)::int as number, min(p_type) as name from part where p_size < 4 group by 1 having count(distinct p_type) = 1")
+@query("unconflicted_names", "select p_partkey // 3 as number, min(p_type) as name from part group by 1 having count(distinct p_type) = 1")
 def unconflicted_names(spark, sf):
-    p = table(spark, sf, "part").where("p_size < 4").withColumn("number", F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int"))
+    p = table(spark, sf, "part").withColumn("number", F.floor(F.col("p_partkey") / 3))
     return p.groupBy("number").agg(F.min("p_type").alias("name"), F.count_distinct("p_type").alias("n")).where("n = 1").select("number", "name")
 
 
@@ -130,16 +130,9 @@ def merged_words(spark, sf):
     return k.groupBy("source_id", "g").agg(F.min("word").alias("word"), F.min("start").alias("start"), F.max("end_sec").alias("end_sec"), F.max("prob").alias("prob"), F.count("*").alias("n")).drop("g")
 
 
-@query("zero_filled_grid", _OBS + """, h as (select label, us // 86400000000 as day, count(*) as n from o where series < 3 group by all), d as (select unnest(range((select min(day) from h), (select max(day) from h) + 1)) as day),
+@query("zero_filled_grid", _OBS + """, h as (select label, us // 86400000000 as day, count(*) as n from o group by all), d as (select unnest(range((select min(day) from h), (select max(day) from h) + 1)) as day),
 l as (select distinct label from h) select l.label, d.day, coalesce(n, 0) as n from l cross join d left join h on h.label = l.label and h.day = d.day""")
 def zero_filled_grid(spark, sf):
-    return _grid(observations(spark, sf).where("series < 3"))
-
-
-@query("zero_filled_grid_all", _OBS + """, h as (select label, us // 86400000000 as day, count(*) as n from o group by all), d as (select unnest(range((select min(day) from h), (select max(day) from h) + 1)) as day),
-l as (select distinct label from h) select l.label, d.day, coalesce(n, 0) as n from l cross join d left join h on h.label = l.label and h.day = d.day""")
-def zero_filled_grid_all(spark, sf):
-    """The grid of all series; `zero_filled_grid` keeps three, as its SQL does."""
     return _grid(observations(spark, sf))
 
 
@@ -157,18 +150,10 @@ def overlap_add(spark, sf):
     return s.select("plan", "pos", F.round(F.col("x") / F.greatest(F.lit(1.0), F.max(F.abs("x")).over(Window.partitionBy("plan"))), 9).alias("x"))
 
 
-@query("placed_nests", """with e as (select p_partkey // 3 as parent, p_partkey as child, (p_partkey % 7)::bigint as a, (p_partkey % 7 + 20 + p_size)::bigint as b, (p_partkey % 2)::bigint as i from part where p_partkey > 0 and p_partkey < 300),
+@query("placed_nests", """with e as (select p_partkey // 3 as parent, p_partkey as child, (p_partkey % 7)::bigint as a, (p_partkey % 7 + 20 + p_size)::bigint as b, (p_partkey % 2)::bigint as i from part where p_partkey > 0),
 w as (select child as node, a as s, b as e, a - i as shift, 1 as depth from e where parent = 0) select 0::bigint as root, node, s, e, depth from (
  with recursive r as (select * from w union all select e.child, greatest(r.s, e.a + r.shift), least(r.e, e.b + r.shift), e.a + r.shift - e.i, r.depth + 1 from r join e on e.parent = r.node where least(r.e, e.b + r.shift) > greatest(r.s, e.a + r.shift)) select * from r)""")
 def placed_nests(spark, sf):
-    return _nests(table(spark, sf, "part").where("p_partkey < 300"))
-
-
-@query("placed_nests_all", """with e as (select p_partkey // 3 as parent, p_partkey as child, (p_partkey % 7)::bigint as a, (p_partkey % 7 + 20 + p_size)::bigint as b, (p_partkey % 2)::bigint as i from part where p_partkey > 0),
-w as (select child as node, a as s, b as e, a - i as shift, 1 as depth from e where parent = 0) select 0::bigint as root, node, s, e, depth from (
- with recursive r as (select * from w union all select e.child, greatest(r.s, e.a + r.shift), least(r.e, e.b + r.shift), e.a + r.shift - e.i, r.depth + 1 from r join e on e.parent = r.node where least(r.e, e.b + r.shift) > greatest(r.s, e.a + r.shift)) select * from r)""")
-def placed_nests_all(spark, sf):
-    """The nests of all parts; `placed_nests` keeps keys below 300, as its SQL does."""
     return _nests(table(spark, sf, "part"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import interval_algebra as A
+from strandline.operators.ordered_scan import separated
 from strandline.sources.tables import intervals, observations, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -116,12 +117,12 @@ def free_positions(spark, sf):
     return gaps.select("series", "s", "i", (F.col("s") + F.floor((F.col("e") - F.col("s")) * (F.col("i") + 1) / 10)).alias("at"))
 
 
-@query("greedy_separated", """with recursive o as (select user_id as series, strftime(ts, '%Y-%m') as month, epoch_us(ts) as us, event_id from events where event_type = 'error'),
-r as (select series, month, min(us) as us from o group by all union all select r.series, r.month, (select min(o.us) from o where o.series = r.series and o.month = r.month and o.us - r.us >= 86400000000) as us from r where r.us is not null)
+@query("greedy_separated", """with recursive o as (select user_id as series, epoch_us(ts) as us from events where event_type = 'error'),
+r as (select series, min(us) as us from o group by series union all select r.series, (select min(o.us) from o where o.series = r.series and o.us - r.us >= 86400000000) as us from r where r.us is not null)
 select series, us from r where us is not null""")
 def greedy_separated(spark, sf):
-    o = observations(spark, sf).where("label = 'error'").withColumn("g", F.struct("series", F.date_format(F.timestamp_micros("us"), "yyyy-MM").alias("month")))
-    return A.greedy_separated(o, series="g", start="us", key="event_id", gap=DAY).select("g.series", "us")
+    o = observations(spark, sf).where("label = 'error'")
+    return separated(o, series="series", time="us", key="event_id", gap=DAY).select("series", "us")
 
 
 @query("union_last_wins", """with p as (select *, 0 as part from events where event_id % 2 = 0 union all select * replace (value + 1 as value), 1 from events where event_id % 3 = 0)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions import maths as M
 from strandline.functions import text as X
+from strandline.operators import graph
 from strandline.operators import relational as R
+from strandline.operators.ordered_scan import running
+from strandline.operators.similar import similar_blocks
 from strandline.sources.tables import observations, table
 
 QUERIES, SQL = {}, {}
@@ -64,14 +67,9 @@ def masked_mean(spark, sf):
     return table(spark, sf, "samples").groupBy("source_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("speaking") > 0, F.col("closeup_score"))), F.avg("closeup_score")), 6).alias("m"))
 
 
-@query("token_normalise", "select doc_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) as t, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') as token, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from documents where regexp_full_match(title, '[ -~]*')")
+@query("token_normalise", "select doc_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) as t, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') as token, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from documents")
 def token_normalise(spark, sf):
-    return _normalised(table(spark, sf, "documents").where(F.col("title").rlike("^[ -~]*$")))
-
-
-@query("token_normalise_all")
-def token_normalise_all(spark, sf):
-    """All titles; `token_normalise` keeps the plain ASCII ones, as its SQL does. Tokens and slugs hold a-z and 0-9 only."""
+    """All titles. Tokens and slugs hold a-z and 0-9 only."""
     return _normalised(table(spark, sf, "documents"))
 
 
@@ -234,33 +232,36 @@ def contract_accepted(spark, sf):
 _EMB = "with e as (select vec_id, label, embedding::double[] as v from embeddings), p as (select a.vec_id as a, b.vec_id as b, a.label, list_cosine_similarity(a.v, b.v) as c from e a join e b on a.label = b.label and a.vec_id <> b.vec_id)"
 
 
-def _pairs(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label", M.unit(F.col("embedding")).alias("v"))
-    other = e.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("w"))
-    return e.join(other, "label").where("vec_id <> b").select(F.col("vec_id").alias("a"), "b", "label", M.dot(F.col("v"), F.col("w")).alias("c"))
+def _alike(spark, sf, **how):
+    """Pairs (a, b, c) within a label, by blocks of vectors."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return similar_blocks(e, group="label", key="vec_id", vector="embedding", **how)
 
 
 @query("cosine_pairs", _EMB + " select a, b, round(c, 6) as c from p where a < b and c >= 0.3")
 def cosine_pairs(spark, sf):
-    return _pairs(spark, sf).where("a < b and c >= 0.3").select("a", "b", F.round("c", 6).alias("c"))
+    return _alike(spark, sf, least=0.3).where("a < b").select("a", "b", F.round("c", 6).alias("c"))
 
 
 @query("nearest_reference", _EMB + " select a, arg_max(b, (round(c, 9), -b)) as b from p group by a")
 def nearest_reference(spark, sf):
-    m = _pairs(spark, sf).groupBy("a").agg(F.max(F.struct(F.round("c", 9).alias("c"), (-F.col("b")).alias("k"))).alias("m"))
-    return m.select("a", (-F.col("m.k")).alias("b"))
+    return _alike(spark, sf, k=1).select("a", "b")
 
 
 @query("ambiguous_reference", _EMB + ", r as (select a, c, row_number() over (partition by a order by c desc, b) as k from p) select x.a from r x join r y on x.a = y.a and x.k = 1 and y.k = 2 where x.c - y.c < 0.03")
 def ambiguous_reference(spark, sf):
-    r = R.top_per_group(_pairs(spark, sf), ["a"], [F.desc("c"), F.col("b")], 2)
+    r = _alike(spark, sf, k=2)
     return r.groupBy("a").agg(F.max("c").alias("x"), F.min("c").alias("y"), F.count("*").alias("n")).where("n = 2 and x - y < 0.03").select("a")
 
 
 @query("centroid_medoid", _EMB + " , s as (select label, a, avg(c) as m from p group by all) select label, arg_max(a, (round(m, 9), -a)) as medoid from s group by label")
 def centroid_medoid(spark, sf):
-    s = _pairs(spark, sf).groupBy("label", "a").agg(F.avg("c").alias("m"))
-    return s.groupBy("label").agg(F.max(F.struct(F.round("m", 9).alias("m"), (-F.col("a")).alias("k"))).alias("x")).select("label", (-F.col("x.k")).alias("medoid"))
+    """The mean cosine with all others of the label is that with their sum: no pair is formed."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", M.unit(F.col("embedding")).alias("v"))
+    sums = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("w"), F.max("n").alias("n"))
+    s = e.join(sums, "label").select("label", F.round((M.dot(F.col("v"), F.col("w")) - 1) / (F.col("n") - 1), 9).alias("m"), (-F.col("vec_id")).alias("k"))
+    return s.groupBy("label").agg((-F.max(F.struct("m", "k"))["k"]).alias("medoid"))
 
 
 @query("hamming_similar", "with e as (select vec_id, label, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then (1::bigint << (i - 1)) else 0 end))::bigint as h from embeddings) select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 8")
@@ -289,15 +290,16 @@ def nested_flatten(spark, sf):
 
 @query("unique_roots", "select r_regionkey from region where r_regionkey not in (select n_regionkey from nation where n_nationkey % 5 <> r_regionkey)")
 def unique_roots(spark, sf):
-    used = table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != F.col("n_regionkey")).select(F.col("n_regionkey").alias("r_regionkey"))
-    return table(spark, sf, "region").select("r_regionkey").join(used, "r_regionkey", "left_anti")
+    edges = table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != F.col("n_regionkey")).select(F.col("n_regionkey").alias("child"))
+    return graph.unreferenced(table(spark, sf, "region").select(F.col("r_regionkey").alias("node")), edges).select(F.col("node").alias("r_regionkey"))
 
 
 @query("positional_join", "with a as (select row_number() over (order by s_suppkey) as i, s_suppkey from supplier), b as (select row_number() over (order by n_nationkey) as i, n_name from nation) select i, s_suppkey, n_name from a left join b using (i)")
 def positional_join(spark, sf):
-    number = lambda c: F.row_number().over(Window.orderBy(c)).alias("i")
-    a = table(spark, sf, "supplier").select(number("s_suppkey"), "s_suppkey")
-    return a.join(table(spark, sf, "nation").select(number("n_nationkey"), "n_name"), "i", "left")
+    number = lambda df, k: running(df.withColumn("one", F.lit(1).cast("bigint")), [k], "one", "i").withColumn("i", F.col("i") + 1).drop("one")
+    a = number(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
+    b = number(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    return a.join(b, "i", "left").select("i", "s_suppkey", "n_name")
 
 
 @query("selection_report", "select n_name, count(s_suppkey) as suppliers, coalesce(round(sum(s_acctbal), 2), 0) as balance from nation left join supplier on n_nationkey = s_nationkey group by n_name")
