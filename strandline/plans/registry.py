@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import evidence_queries, interval_queries, ordered_queries, period_queries, relational_queries, rule_queries, series_queries, stream_queries
+from strandline.plans import allocation_queries, evidence_queries, interval_queries, ordered_queries, period_queries, relational_queries, rule_queries, series_queries, stream_queries
 
-MODULES = [period_queries, series_queries, interval_queries, relational_queries, ordered_queries, stream_queries, evidence_queries, rule_queries]
+MODULES = [period_queries, series_queries, interval_queries, relational_queries, ordered_queries, stream_queries, evidence_queries, rule_queries, allocation_queries]
 
 
 def queries() -> dict:

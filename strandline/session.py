@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from strandline.storage import FALLBACK_DIR
+
 
 def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     """A local session with the settings the library expects (UTC, AQE, Arrow)."""
@@ -18,6 +20,7 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", os.environ.get("STRANDLINE_SHARED_DIR", FALLBACK_DIR))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

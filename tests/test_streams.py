@@ -8,7 +8,7 @@ from strandline.streaming import streams as S
 def growing(spark, tmp_path):
     at = tmp_path / "events.parquet"
     for i in range(4):
-        rows = [(i * 10 + j, j % 2, 1_000_000 * (i * 100 + j * 3)) for j in range(10)]
+        rows = [(i * 10 + j, j % 2, 1_000_000 * (1000 + i * 100 + j * 3)) for j in range(10)]
         spark.createDataFrame(rows, "id bigint, k bigint, us bigint").select("id", "k", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(str(at))
     return str(tmp_path)
 
@@ -23,7 +23,7 @@ def test_entity_outlives_a_batch(spark, growing):
     run = lambda lifetime: S.latest(S.entities(S.table_stream(spark, growing, "events"), key="k", time="ts", row="id", lifetime=lifetime, delay="1 hour"), ["id"], "append")
     assert run(80_000_000).select("k", "entity").distinct().count() == 2
     got = run(20_000_000).select("k", "entity").distinct().collect()
-    assert len(got) == 8 and {x.entity for x in got if x.k == 0} == {i * 100_000_000 for i in range(4)}
+    assert len(got) == 8 and {x.entity for x in got if x.k == 0} == {(10 + i) * 100_000_000 for i in range(4)}
 
 
 def test_a_late_row_does_not_move_the_clock_back(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_a_late_row_does_not_move_the_clock_back(spark, tmp_path):
 
 
 def test_late_and_repeated_batches_count_once(spark):
-    df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("k"), F.timestamp_micros(F.col("id") * 7_000_000).alias("ts"))
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("k"), F.timestamp_micros(1_000_000_000 + F.col("id") * 7_000_000).alias("ts"))
     stream, delay = S.replayed(df, time="ts", key="id", late=4, again=3)
     got = S.latest(S.owned_counts(S.once(stream, key="id", time="ts", delay=delay), key="k", time="ts", size="5 minutes", delay=None), ["k", "start"]).collect()
     want = df.groupBy("k", F.window("ts", "5 minutes").alias("w")).count().collect()
