@@ -75,6 +75,13 @@ def _slots(packs: list[tuple[int, tuple]]) -> list[tuple]:
     return rows
 
 
+def _by_length(slots: list[tuple]) -> dict[int, list[tuple]]:
+    out: dict[int, list[tuple]] = defaultdict(list)
+    for length, *rest in slots:
+        out[length].append(tuple(rest))
+    return out
+
+
 def pack_documents(docs: DataFrame, *, doc_id: str, text: str, capacity: int = 2048, path: str = TOKENIZER) -> DataFrame:
     """Puts all texts into containers of ``capacity`` tokens; only a text above the capacity is divided.
 
@@ -87,7 +94,8 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str, capacity: int = 2
     Plan: texts are tokenized once, where they are read; from then on only (id, piece, length) move. The histogram has at
     most ``capacity`` rows. The rank of an item among those of its length is the number of such items in earlier
     partitions plus its place in its own: counts per (length, partition) are summed up, so a length that a third of all
-    items share is ranked in parallel. Patterns come back by an equi-join on the length.
+    items share is ranked in parallel. The patterns (at most the distinct lengths times the capacity, in practice a few for
+    each length) are broadcast as sorted arrays, and an item finds its own by binary search on its rank.
     """
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must be in 1..{MAX_CAPACITY}")
@@ -109,7 +117,7 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str, capacity: int = 2
     items = cut_lineage(items.withColumn("part", F.spark_partition_id()))
     counts = cut_lineage(items.where("n_tokens > 0").groupBy("n_tokens", "part").agg(F.count("*").alias("n")))
     histogram = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.createDataFrame(_slots(pack_histogram(histogram, capacity)), "n_tokens bigint, first bigint, stop bigint, base bigint, times bigint, offset bigint")
+    slots = _slots(pack_histogram(histogram, capacity))
 
     earlier = F.sum("n").over(_order("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select("n_tokens", "part", F.coalesce(earlier, F.lit(0)).alias("before"))
@@ -119,11 +127,23 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str, capacity: int = 2
         .join(before, ["n_tokens", "part"])
         .withColumn("rank", F.col("before") + F.col("own"))
     )
-    placed = ranked.join(F.broadcast(slots) if len(histogram) <= 100_000 else slots, "n_tokens").where("rank >= first and rank < stop")
-    k = F.col("rank") - F.col("first")
-    out = placed.select(
-        "d", "piece", "start_token", "n_tokens", (F.col("base") + F.floor(k / F.col("times"))).alias("container_id"), (F.col("offset") + F.pmod(k, F.col("times")) * F.col("n_tokens")).alias("container_offset")
-    )
+    # patterns of containers, by the first rank of a length that they take: a few for each length, found by binary search
+    table = spark.sparkContext.broadcast({length: np.array(sorted(rows), "int64") for length, rows in _by_length(slots).items()})
+
+    def place(batches):
+        for rows in batches:
+            n, rank = rows["n_tokens"].to_numpy(), rows["rank"].to_numpy()
+            box, offset = np.zeros(len(n), "int64"), np.zeros(len(n), "int64")
+            order = np.argsort(n, kind="stable")
+            cuts = np.flatnonzero(np.append(True, n[order][1:] != n[order][:-1])) if len(n) else np.zeros(0, "int64")
+            for at in np.split(order, cuts[1:]) if len(n) else []:
+                own = table.value[int(n[at[0]])]
+                first, _, base, times, start = own[np.searchsorted(own[:, 0], rank[at], "right") - 1].T
+                k = rank[at] - first
+                box[at], offset[at] = base + k // times, start + k % times * n[at[0]]
+            yield pd.DataFrame({"d": rows["d"], "piece": rows["piece"], "start_token": rows["start_token"], "n_tokens": n, "container_id": box, "container_offset": offset})
+
+    out = ranked.select("d", "piece", "start_token", "n_tokens", "rank").mapInPandas(place, f"d {kind}, piece bigint, start_token bigint, n_tokens bigint, container_id bigint, container_offset bigint")
     empty = items.where("n_tokens = 0").select("d", "piece", "start_token", "n_tokens", F.lit(0).cast("bigint").alias("container_id"), F.lit(0).cast("bigint").alias("container_offset"))
     return out.unionByName(empty).withColumnRenamed("d", doc_id)
 

@@ -269,6 +269,8 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
             keys, groups, v, copy, asks = keys[once], groups[once], v[once], copy[once], asks[once]
             cell = tree.cell(projections(v, p))
             keep = keep_of_copies(keys, groups, copy, settings.k)
+            # what follows takes the neighbours of those that are kept
+            asks = asks | (np.bincount(copy)[copy] >= settings.k)
             vec = [x.tobytes() if k else None for x, k in zip(v, keep, strict=True)]
             mark = [None if k else digest(x) for x, k in zip(v, keep, strict=True)]
             # a copy that isn't needed goes anywhere, so that copies don't gather
@@ -293,6 +295,7 @@ def build_index(source: DataFrame, rows_of, n_rows: int, what: str, settings: Se
             keep = keep_of_copies(k, g, copy, settings.k)
             # whatever follows, here or in a batch, left at least k of its copies behind
             many = np.isin(copy, np.flatnonzero(np.bincount(copy) >= settings.k))
+            asks = asks | many
             if many.any():
                 at = np.flatnonzero(many & keep)
                 extra(-2, k[at], g[at], [digest(v[i]) for i in at])
@@ -527,11 +530,12 @@ def neighbours(index: Index, spark: SparkSession, each=None, schema: str = "key
     return ranged.mapInPandas(search, schema)
 
 
-def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]], settings: SearchSettings = SearchSettings()) -> DataFrame:  # noqa: B008
-    """Pairs of keys of which at least one is among the k most similar of the other: ``key_a`` < ``key_b``, ``cosine``.
+def most_similar(source: DataFrame, *, group: str, pairs: list[tuple[str, str]], settings: SearchSettings = SearchSettings(), every: int = 1) -> DataFrame:  # noqa: B008
+    """The k most similar vectors of other groups for each key divisible by ``every``: ``key``, ``other``, ``cosine``.
 
-    ``pairs`` names columns of keys and of vectors that belong together position by position. Neighbours are vectors of
-    another ``group`` with at least ``least_cosine``.
+    ``pairs`` names columns of keys and of vectors that belong together position by position. Neighbours have at least
+    ``least_cosine``; the cosine has six decimals, equal ones go by the smaller key. All vectors are in the index, whatever
+    is asked.
 
     Defined cases: vectors that are null, of another length, all zero or not finite, and null keys and groups take no
     part; a key counts once; arrays may be null, empty or of unequal length; exact copies beyond k of a group or 2 k in all
@@ -543,7 +547,12 @@ def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]]
     rows = source.select(F.col(group).alias("__id"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)]).where("__id is not null")
     counted = rows.agg(*[F.sum(F.greatest(F.size(f"__{i}"), F.lit(0))) for i in range(0, len(columns), 2)]).first()
     named = [(f"__{i}", f"__{i + 1}") for i in range(0, len(columns), 2)]
-    index = build_index(rows, lambda b: keyed_vectors(b, "__id", named, settings.dims), sum(x or 0 for x in counted), "vectors", settings)
+
+    def rows_of(batch):
+        keys, groups, vectors = keyed_vectors(batch, "__id", named, settings.dims)
+        return keys, groups, vectors, keys % every == 0
+
+    index = build_index(rows, rows_of, sum(x or 0 for x in counted), "vectors", settings)
     linked = neighbours(index, spark)
     both = linked.select("key", "other", "cosine")
     if index.has_followers(spark):
@@ -551,4 +560,13 @@ def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]]
         copies = index.followers(spark, linked).select("key", F.slice(F.filter("kept", lambda x: (x["grp"] != F.col("grp")) & (x["key"] != F.col("key"))), 1, settings.k).alias("k"))
         copies = copies.select("key", F.explode("k").alias("x")).select("key", F.col("x.key").alias("other"), (-F.col("x.far")).alias("cosine"))
         both = linked.select("key", "other", "cosine").unionByName(copies)
+    return both if every == 1 else both.where(F.pmod("key", F.lit(every)) == 0)
+
+
+def similar_pairs(source: DataFrame, *, group: str, pairs: list[tuple[str, str]], settings: SearchSettings = SearchSettings()) -> DataFrame:  # noqa: B008
+    """Pairs of keys of which at least one is among the k most similar of the other: ``key_a`` < ``key_b``, ``cosine``.
+
+    See :func:`most_similar` for the parameters and the defined cases.
+    """
+    both = most_similar(source, group=group, pairs=pairs, settings=settings)
     return both.groupBy(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).agg(F.max("cosine").alias("cosine"))
