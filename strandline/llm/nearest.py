@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hot cells known to the driver at most; beyond it they are joined as a table of their own.
-MAX_LISTED_CELLS = 10_000
+from strandline.storage import cut_lineage
+
+#: A hot cell is cut into so many slices at most; one of 100 million right records has slices of 100,000.
+SLICES = 1024
 _MAX_CELL = float(2**62)
 
 
@@ -55,6 +57,32 @@ def _match(left: pd.DataFrame, right: pd.DataFrame, tolerance: float) -> pd.Data
     return pd.DataFrame({"l": left["__lid"].to_numpy()[ok], "r": rid[pick[ok]], "d": np.where(before <= after, -before, after)[ok]})
 
 
+def _spread(lt: DataFrame, rt: DataFrame, hot: DataFrame, rows_per_cell: int) -> tuple[DataFrame, DataFrame]:
+    """Hot cells are cut at quantiles of their right times, whatever bunch these form. A slice holds its own right records and
+    the nearest one on either side of it, which is all that a left record in it can need; left records of a slice are
+    salted by their own number."""
+    cell, none = ["__e", "__cell"], F.array().cast("array<double>")
+    cuts = rt.join(hot, cell).groupBy(*cell).agg(F.percentile_approx("__t", F.lit([i / SLICES for i in range(1, SLICES)]), F.lit(10_000)).alias("q"), F.max("r").alias("r"))
+    k = F.least(F.lit(SLICES), F.ceil(F.col("r") / rows_per_cell)).cast("int")
+    cuts = hot.select(*cell).join(cuts.withColumn("k", k), cell, "left")
+    some = F.when(F.col("k") > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda i: F.get("q", (i * SLICES / F.col("k")).cast("int") - 1))))
+    cuts = cut_lineage(cuts.select(*cell, F.coalesce(some, none).alias("__q")))
+    sliced = lambda df: df.join(cuts, cell, "left").withColumn("__sub", F.size(F.filter(F.coalesce("__q", none), lambda x: x <= F.col("__t"))))
+    lt, rt = sliced(lt), sliced(rt)
+
+    per = rt.where("__q is not null").groupBy(*cell, "__sub").agg(F.min(F.struct("__t", "__rid")).alias("lo"), F.max(F.struct("__t", "__rid")).alias("hi"))
+    per = per.join(cuts.select(*cell, F.explode(F.sequence(F.lit(0), F.size("__q"))).alias("__sub")), [*cell, "__sub"], "right")
+    near = lambda x, order: F.last(x, ignorenulls=True).over(Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sides = per.select(*cell, "__sub", F.array(near("hi", F.col("__sub")), near("lo", F.desc("__sub"))).alias("near"))
+    edges = sides.select(*cell, "__sub", F.explode("near").alias("x")).where("x is not null").select(*cell, "__sub", "x.*")
+    rt = rt.drop("__q").unionByName(edges)
+
+    salts = cut_lineage(lt.where("__q is not null").groupBy(*cell, "__sub").agg(F.ceil(F.count("*") / rows_per_cell).cast("int").alias("__s")))
+    lt = lt.drop("__q").join(salts, [*cell, "__sub"], "left").withColumn("__salt", F.pmod(F.xxhash64("__lid"), F.coalesce("__s", F.lit(1))).cast("int")).drop("__s")
+    rt = rt.join(salts, [*cell, "__sub"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__s", F.lit(1)) - 1))).drop("__s")
+    return lt, rt
+
+
 def nearest_in_time(
     left: DataFrame,
     right: DataFrame,
@@ -81,9 +109,10 @@ def nearest_in_time(
     Plan: right records of the same entity and time are reduced to one before the shuffle. Both tables are cut into
     cells of (entity, ``width`` seconds), right records within the tolerance of an edge go to both cells, and whole
     cells are co-grouped by a hash into groups of about ``rows_per_group`` rows. Cells above ``rows_per_cell`` rows are
-    cut further: by time for the right table and by salt for left records, so no entity or moment fills one task.
+    cut further: at quantiles of their right times, and by salt for left records, so no entity or burst fills one task.
     """
     lt = left.select(F.col(entity).alias("__e"), F.col(left_id).alias("__lid"), F.col(left_time).cast("double").alias("__t")).where(_finite(F.col("__t"))).dropna()
+    lt = lt.dropDuplicates(["__lid"])
     rt = right.select(F.col(entity).alias("__e"), F.col(right_id).alias("__rid"), F.col(right_time).cast("double").alias("__t")).where(_finite(F.col("__t"))).dropna()
     rt = rt.groupBy("__e", "__t").agg(F.min("__rid").alias("__rid"))
     margin = tolerance * (1 + 1e-9) + 1e-9
@@ -100,17 +129,7 @@ def nearest_in_time(
     groups = max(1, math.ceil((total or 0) / rows_per_group), int(lt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rt = rt.withColumn("__cell", F.explode(spread))
     if n_hot:
-        hot = counted.where(F.greatest("l", "r") > rows_per_cell).select(
-            "__e", "__cell", F.ceil(F.col("r") / rows_per_cell).cast("int").alias("__k"), F.ceil(F.col("l") / rows_per_cell).cast("int").alias("__s")
-        )
-        hot = F.broadcast(hot) if n_hot <= MAX_LISTED_CELLS else hot
-        part = lambda t: F.greatest(F.lit(0), F.least(F.col("__k") - 1, F.floor((t - F.col("__cell") * width) * F.col("__k") / width).cast("int")))
-        fill = {"__k": 1, "__s": 1}
-        lt = lt.join(hot, ["__e", "__cell"], "left").fillna(fill)
-        lt = lt.withColumn("__sub", part(F.col("__t"))).withColumn("__salt", F.pmod(F.xxhash64("__lid"), F.greatest("__s", F.lit(1))).cast("int")).drop("__k", "__s")
-        rt = rt.join(hot, ["__e", "__cell"], "left").fillna(fill)
-        rt = rt.withColumn("__sub", F.explode(F.sequence(part(F.col("__t") - margin), part(F.col("__t") + margin))))
-        rt = rt.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest("__s", F.lit(1)) - 1))).drop("__k", "__s")
+        lt, rt = _spread(lt, rt, counted.where(F.greatest("l", "r") > rows_per_cell).select("__e", "__cell", "r"), rows_per_cell)
     else:
         lt, rt = (x.withColumn("__sub", F.lit(0)).withColumn("__salt", F.lit(0)) for x in (lt, rt))
     group = F.pmod(F.xxhash64("__e", "__cell", "__sub", "__salt"), F.lit(groups)).alias("__g")
@@ -120,7 +139,7 @@ def nearest_in_time(
     def pair(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(other):
             return pd.DataFrame({"l": own["__lid"].iloc[:0], "r": other["__rid"].iloc[:0], "d": np.array([], "float64")})
-        return _match(own.drop_duplicates("__lid"), other, tolerance)
+        return _match(own, other, tolerance)
 
     found = lt.groupBy("__g").cogroup(rt.groupBy("__g")).applyInPandas(pair, f"l {lid}, r {rid}, d double")
     return found.select(F.col("l").alias(left_id), F.col("r").alias(right_id), F.col("d").alias("delta_sec"))

@@ -35,6 +35,16 @@ def test_nearest_with_hot_entity_and_copies(spark, cell):
     assert len(got) == len({x[0] for x in got})
 
 
+def test_a_burst_is_cut_where_its_records_are(spark):
+    # nearly all right records within a hundredth of a second, left ones too; some far off
+    r = random.Random(4)
+    right = [(i, 1, 100 + r.random() / 100) for i in range(600)] + [(1000 + i, 1, 50.0 + i) for i in range(5)]
+    left = [(i, 1, 100 + r.random() / 100) for i in range(500)] + [(900, 1, 99.9), (901, 1, 100.2), (902, 1, 52.1), (903, 1, 300.0)]
+    a, b = spark.createDataFrame(left, "lid bigint, src bigint, t double"), spark.createDataFrame(right, "rid bigint, src bigint, u double")
+    got = N.nearest_in_time(a, b, entity="src", left_id="lid", left_time="t", right_id="rid", right_time="u", tolerance=0.25, rows_per_cell=40).collect()
+    assert {x[0]: x[1] for x in got} == brute_nearest(left, right, 0.25) and len(got) == 503
+
+
 def test_nearest_empty(spark):
     a = spark.createDataFrame([], "lid bigint, src bigint, t double")
     b = spark.createDataFrame([(1, 1, 1.0)], "rid bigint, src bigint, u double")
