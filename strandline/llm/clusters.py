@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.hierarchy import stable_clusters
 from strandline.llm.spanning import EDGE, ONE_TASK_EDGES, boruvka, contracted, labels_of, lightest, local_forest
 from strandline.llm.vectors import SearchSettings, build_index, neighbours, nested, unit, usable
 from strandline.storage import cut_lineage
 
-#: Trees of more edges than this are first contracted up to their heaviest edges.
+#: Trees of more edges than this are solved in parts.
 TREE_EDGES = 200_000
-#: Small trees share a task of about so many nodes.
-NODES_PER_TASK = 20_000
 
 
 def mean_vectors(batch, key: str, vectors: str, dims: int, group: str | None = None, asks: str | None = None) -> tuple[np.ndarray, ...]:
@@ -41,115 +37,6 @@ def mean_vectors(batch, key: str, vectors: str, dims: int, group: str | None = N
     return own[row[first]][ok], groups[row[first]][ok], mean[ok], wants[row[first]][ok]
 
 
-def hierarchy(nodes: np.ndarray, sizes: np.ndarray, u, v, w, radius: float, least_size: int, epsilon: float):
-    """Clusters of one tree: (label, persistence, typical) per node, label -1 outside any cluster.
-
-    The edges, light to heavy, give the single-linkage hierarchy; sides below ``least_size`` fall out of a cluster, larger
-    ones split it. Of the condensed hierarchy those clusters are taken that are most stable (time of membership in units
-    of 1/distance); a cluster born below the distance ``epsilon`` gives way to its parent. A node's persistence is the
-    1/distance at which it falls out; a cluster's most persistent nodes are typical of it.
-    """
-    n = len(nodes)
-    order = np.lexsort((np.maximum(u, v), np.minimum(u, v), w))
-    at = {int(x): i for i, x in enumerate(nodes)}
-    parent, top, weight = list(range(n)), list(range(n)), [int(x) for x in sizes]
-    left, right, height = [], [], []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for e in order:
-        a, b = find(at[int(u[e])]), find(at[int(v[e])])
-        left.append(top[a])
-        right.append(top[b])
-        height.append(float(w[e]))
-        weight.append(weight[top[a]] + weight[top[b]])
-        parent[b] = a
-        top[a] = n + len(left) - 1
-
-    def rate(d: float) -> float:
-        return 1 / max(d, 1e-6)
-
-    birth, above, stability = [rate(radius)], [-1], [0.0]
-    member, persistence = np.zeros(n, "int64"), np.zeros(n)
-    stack = [(n + len(left) - 1 if left else 0, 0)]
-
-    def fall(node: int, cluster: int, at_rate: float) -> None:
-        inner = [node]
-        while inner:
-            x = inner.pop()
-            if x < n:
-                member[x], persistence[x] = cluster, at_rate
-                stability[cluster] += int(sizes[x]) * (at_rate - birth[cluster])
-            else:
-                inner += [left[x - n], right[x - n]]
-
-    while stack:
-        x, cluster = stack.pop()
-        if x < n:
-            fall(x, cluster, max(birth[cluster], rate(radius)))
-            continue
-        r, sides = rate(height[x - n]), (left[x - n], right[x - n])
-        big = [s for s in sides if weight[s] >= least_size]
-        if len(big) == 2:
-            stability[cluster] += weight[x] * (r - birth[cluster])
-            for s in sides:
-                birth.append(r)
-                above.append(cluster)
-                stability.append(0.0)
-                stack.append((s, len(birth) - 1))
-        else:
-            for s in sides:
-                if s in big:
-                    stack.append((s, cluster))
-                else:
-                    fall(s, cluster, r)
-
-    total, taken = list(stability), [True] * len(birth)
-    below = defaultdict(list)
-    for c in range(len(birth) - 1, 0, -1):
-        below[above[c]].append(c)
-    for c in range(len(birth) - 1, -1, -1):
-        if below[c] and (inner := sum(total[x] for x in below[c])) > stability[c]:
-            total[c], taken[c] = inner, False
-    for c in range(1, len(birth)):
-        if birth[c] > rate(epsilon):
-            taken[above[c]] = taken[above[c]] or taken[c]
-    for c in range(len(birth) - 1, 0, -1):
-        if birth[c] > rate(epsilon) and (taken[c] or taken[above[c]]):
-            taken[above[c]] = True
-    chosen = [-1] * len(birth)
-    for c in range(len(birth)):
-        chosen[c] = chosen[above[c]] if above[c] >= 0 and chosen[above[c]] >= 0 else c if taken[c] else -1
-    label = np.array([chosen[c] for c in member])
-    best = defaultdict(float)
-    for c, p in zip(label, persistence, strict=True):
-        best[c] = max(best[c], p)
-    typical = np.array([c >= 0 and p >= best[c] * (1 - 1e-9) for c, p in zip(label, persistence, strict=True)], bool)
-    return label, persistence, typical
-
-
-def _trees(least_size: int, radius: float, epsilon: float):
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, t in rows.groupby("comp", sort=True):
-            u, v, w = (t[c].to_numpy() for c in ("u", "v", "w"))
-            nodes = np.unique(np.concatenate([u, v]))
-            size = dict(zip(np.concatenate([u, v]).tolist(), np.concatenate([t["su"], t["sv"]]).tolist(), strict=True))
-            sizes = np.array([size[x] for x in nodes.tolist()])
-            label, persistence, typical = hierarchy(nodes, sizes, u, v, w, radius, least_size, epsilon)
-            for c in np.unique(label[label >= 0]):
-                own = label == c
-                if sizes[own].sum() >= least_size:
-                    out.append(pd.DataFrame({"node": nodes[own], "cluster": nodes[own].min(), "persistence": persistence[own], "typical": typical[own]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "cluster": [], "persistence": [], "typical": []})
-
-    return solve
-
-
 def density_forest(source: DataFrame, *, key: str, vectors: str, radius: float, k: int, least_points: int, dims: int, one_task: int) -> DataFrame:
     """(u, v, w): the minimum spanning forest of the mutual-reachability graph of all pairs within ``radius``.
 
@@ -244,55 +131,13 @@ def cluster(
     result; other columns are not read.
 
     Plan: the neighbours come from the index of ``vectors.py``; edges are reduced to spanning forests where they arise;
-    Borůvka's rounds are distributed; trees are solved side by side, many small ones to a task. A tree of more than
-    ``tree_edges`` edges is contracted below the distance that leaves it about so many, with the sizes of what was
-    contracted: its hierarchy isn't resolved below that distance, its clusters and members are. What was contracted gets
-    its persistence from its lightest edge in the forest: with ``least_size`` 2 the same as without contraction, with more
-    an upper bound of it.
+    Borůvka's rounds are distributed, and go on in one task once ``one_task`` edges are left; trees are solved side by side,
+    those of more than ``tree_edges`` edges in parts, with the same result (see ``hierarchy.py``).
     """
-    if not 1 <= least_points <= k + 1:
-        raise ValueError("least_points must be in 1..k + 1")
+    if not 1 <= least_points <= k + 1 or least_size < 2:
+        raise ValueError("least_points must be in 1..k + 1, least_size at least 2")
     forest = density_forest(source, key=key, vectors=vectors, radius=radius, k=k, least_points=least_points, dims=dims, one_task=one_task)
     labels = cut_lineage(labels_of(forest, one_task))
-    edges = forest.join(labels.select(F.col("node").alias("u"), "comp"), "u").withColumn("su", F.lit(1)).withColumn("sv", F.lit(1)).select("comp", "u", "v", "w", "su", "sv")
-    large = cut_lineage(edges.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > tree_edges))
-    blobs = None
-    if large.count():
-        edges, blobs = _contracted(edges, large.select("comp"), tree_edges)
-    n = edges.count()
-    group = F.pmod(F.xxhash64("comp"), F.lit(max(1, math.ceil(n / NODES_PER_TASK)))).alias("g")
-    solved = edges.groupBy(group).applyInPandas(_trees(least_size, radius, epsilon), "node bigint, cluster bigint, persistence double, typical boolean")
-    if blobs is not None:
-        solved = solved.join(blobs, solved["node"] == blobs["blob"], "left").select(F.coalesce("inner", "node").alias("node"), "cluster", "persistence", F.col("inner").isNotNull().alias("inside"))
-        solved = _own_persistence(cut_lineage(solved), forest)
-    return solved.select(F.col("cluster").alias("cluster_id"), F.col("node").alias("key"), "persistence", "typical")
-
-
-def _own_persistence(solved: DataFrame, forest: DataFrame) -> DataFrame:
-    """What was contracted falls out, each record by itself, at its lightest edge; typical records are chosen by that."""
-    ends = forest.select(F.col("u").alias("node"), "w").unionByName(forest.select(F.col("v").alias("node"), "w"))
-    lightest = ends.groupBy("node").agg(F.min("w").alias("w"))
-    own = F.when(F.col("inside"), 1 / F.greatest("w", F.lit(1e-6))).otherwise(F.col("persistence"))
-    solved = cut_lineage(solved.join(lightest, "node").select("node", "cluster", own.alias("persistence")))
-    best = solved.groupBy("cluster").agg(F.max("persistence").alias("best"))
-    return solved.join(best, "cluster").select("node", "cluster", "persistence", (F.col("persistence") >= F.col("best") * (1 - 1e-9)).alias("typical"))
-
-
-def _contracted(edges: DataFrame, large: DataFrame, tree_edges: int) -> tuple[DataFrame, DataFrame]:
-    """Trees that are too large, contracted below a distance of their own; and (blob, inner) of what was contracted."""
-    steps = 1000
-    share = edges.join(large, "comp").withColumn("b", F.floor(F.col("w") * steps))
-    counted = share.groupBy("comp", "b").agg(F.count("*").alias("k"))
-    heavier = counted.withColumn("kept", F.sum("k").over(Window.partitionBy("comp").orderBy(F.desc("b"))))
-    floor = heavier.where(F.col("kept") <= tree_edges).groupBy("comp").agg(F.min("b").alias("floor"))
-    # where even the heaviest step holds too many, all but the heaviest edge are contracted
-    top = share.groupBy("comp").agg(F.max(F.struct("w", "u", "v")).alias("top")).join(floor, "comp", "left")
-    below = F.when(F.col("floor").isNotNull(), F.floor(F.col("w") * steps) < F.col("floor")).otherwise(F.struct("w", "u", "v") != F.col("top"))
-    marked = cut_lineage(edges.join(top, "comp", "left").select(*edges.columns, (F.col("top").isNotNull() & below).alias("low")))
-    blobs = cut_lineage(labels_of(marked.where("low").select("u", "v", "w")).select(F.col("comp").alias("blob"), F.col("node").alias("inner")))
-    sizes = blobs.groupBy("blob").agg(F.count("*").alias("size"))
-    rest = marked.where("not low").select("comp", "u", "v", "w")
-    for side, size in (("u", "su"), ("v", "sv")):
-        to = blobs.join(sizes, "blob").select(F.col("inner").alias(side), F.col("blob").alias("to"), F.col("size").cast("int").alias(size))
-        rest = rest.join(to, side, "left").withColumn(side, F.coalesce("to", side)).drop("to").fillna({size: 1})
-    return cut_lineage(rest.select("comp", "u", "v", "w", "su", "sv")), blobs
+    edges = cut_lineage(forest.join(labels.select(F.col("node").alias("u"), F.col("comp").alias("tree")), "u").select("tree", "u", "v", "w"))
+    found = stable_clusters(edges, radius=radius, epsilon=epsilon, least_size=least_size, tree_edges=tree_edges, one_task=one_task)
+    return found.select(F.col("cluster").alias("cluster_id"), F.col("node").alias("key"), "persistence", "typical")

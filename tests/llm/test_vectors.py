@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm.clusters import cluster, density_forest, hierarchy
+from strandline.llm.clusters import cluster, density_forest
+from strandline.llm.hierarchy import Hierarchy, stable_clusters
 from strandline.llm.spanning import forest_of, labels_of, spanning_forest
 from strandline.llm.vectors import SearchSettings, Tree, _descend, chi_square_limit, normal, similar_pairs
 
@@ -222,14 +223,80 @@ def test_a_tree_of_equal_edges_is_contracted(spark):
     assert sorted((x.cluster_id, x.key) for x in got) == [(0, i) for i in range(60)]
 
 
+def reference_clusters(nodes, edges, radius, epsilon, least):
+    """Node -> (cluster, persistence), by walking down from the heaviest edge, recursively and from the definitions."""
+    rate = lambda d: 1 / max(d, 1e-6)
+
+    def sides(part, inner):
+        worst = max(inner, key=lambda e: (e[2], min(e[:2]), max(e[:2])))
+        rest = [e for e in inner if e is not worst]
+        one, grown = {worst[0]}, True
+        while grown:
+            grown = False
+            for u, v, _ in rest:
+                if (u in one) != (v in one):
+                    one |= {u, v}
+                    grown = True
+        halves = one, part - one
+        return worst[2], [(h, [e for e in rest if e[0] in h]) for h in halves]
+
+    fall = {}
+
+    def walk(part, inner, birth):
+        """A cluster: (records, stability, split distance or None, children)."""
+        stability, whole = 0.0, part
+        while len(part) > 1:
+            d, halves = sides(part, inner)
+            big = [h for h in halves if len(h[0]) >= least]
+            if len(big) == 2:
+                stability += len(part) * (rate(d) - birth)
+                return whole, stability, d, [walk(*h, rate(d)) for h in halves]
+            out = [h for h in halves if h not in big]
+            for h in out:
+                stability += len(h[0]) * (rate(d) - birth)
+                fall.update(dict.fromkeys(h[0], rate(d)))
+            if not big:
+                break
+            part, inner = big[0]
+        return whole, stability, None, []
+
+    def total(c):
+        return max(c[1], sum(map(total, c[3])))
+
+    def chosen(c):
+        if not c[3] or c[2] < epsilon or c[1] >= sum(map(total, c[3])) - 1e-9:
+            return [c[0]]
+        return [x for y in c[3] for x in chosen(y)]
+
+    if len(nodes) < least:
+        return {}
+    return {x: (min(c), fall[x]) for c in chosen(walk(set(nodes), edges, rate(radius))) for x in c}
+
+
+@pytest.mark.parametrize(("seed", "least", "tree_edges"), [(0, 2, 200_000), (0, 5, 9), (1, 3, 4)])
+def test_clusters_in_stages_are_those_of_the_definition(spark, seed, least, tree_edges):
+    r, edges, want, at = random.Random(seed), [], {}, 0
+    for size in (2, 4, 30, 60):
+        own = []
+        for i in range(1, size):
+            own.append((at + i, at + r.randrange(i), round(r.choice([0.01, 0.02, 0.05, 0.1, 0.19]) + r.random() / 1000 * (seed == 0), 6)))
+        edges += [(at, *e) for e in own]
+        want |= reference_clusters(list(range(at, at + size)), own, 0.2, 0.03, least)
+        at += size
+    df = spark.createDataFrame(edges, "tree bigint, u bigint, v bigint, w double")
+    got = stable_clusters(df, radius=0.2, epsilon=0.03, least_size=least, tree_edges=tree_edges, one_task=50_000).collect()
+    assert {x.node: (x.cluster, round(x.persistence, 6)) for x in got} == {k: (c, round(p, 6)) for k, (c, p) in want.items()}
+    assert len(got) == len(want) and {x.cluster for x in got if x.typical} == {c for c, _ in want.values()}
+
+
 def test_hierarchy_selects_stable_clusters():
     # two tight triples, joined far away: they are more stable than the whole; with a wide epsilon they stay one
     u, v, w = np.array([1, 2, 3, 4, 5]), np.array([2, 3, 4, 5, 6]), np.array([0.01, 0.01, 0.19, 0.01, 0.02])
-    label, persistence, typical = hierarchy(np.arange(1, 7), np.ones(6, int), u, v, w, 0.2, 2, 0.0)
+    h = Hierarchy(np.arange(1, 7), np.ones(6), np.zeros(6), np.zeros(6), np.full(6, np.nan), u, v, w, np.argsort(w, kind="stable"), 2)
+    label = [x[2] for x in h.decide("start", 5.0, None, "t", 0.0)]
     assert len(set(label[:3])) == 1 and len(set(label[3:])) == 1 and label[0] != label[3]
-    assert persistence[5] == pytest.approx(50) and persistence[0] == pytest.approx(100) and not typical[5] and typical[0]
-    label, _, _ = hierarchy(np.arange(1, 7), np.ones(6, int), u, v, w, 0.2, 2, 0.2)
-    assert len(set(label)) == 1 and label[0] >= 0
+    assert h.leaves_at[5] == pytest.approx(50) and h.leaves_at[0] == pytest.approx(100)
+    assert len({x[2] for x in h.decide("start", 5.0, None, "t", 0.2)}) == 1
 
 
 VS = "id bigint, vs array<array<float>>"
@@ -254,8 +321,7 @@ def members(rows):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("one_task", [0, 50_000])
-@pytest.mark.parametrize("least_points", [2, 4])
+@pytest.mark.parametrize(("one_task", "least_points"), [(0, 4), (50_000, 2)])
 def test_the_forest_is_that_of_all_pairs(spark, one_task, least_points):
     # two tight clumps near each other and both near a loose ring: their own link is in no list of the nearest
     rng = np.random.default_rng(8)
