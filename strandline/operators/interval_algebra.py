@@ -28,16 +28,29 @@ def difference(df: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     return inner.unionByName(outer).where("e > s")
 
 
+#: Intervals over more buckets than this are cut by buckets so many times as wide.
+LONG = 64
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, *, width: int, pad: int = 0) -> DataFrame:
     """Pairs (id, other) of intervals of the same key that overlap, or lie within ``pad`` of each other (JN31, MTH7).
 
     Both sides are cut into buckets of ``width``; a pair is found in the bucket where the later of the two begins, so none
-    is found twice. A bucket is a hash key, so there is no nested loop; AQE splits a hot one.
+    is found twice. A bucket is a hash key, so there is no nested loop; AQE splits a hot one. Pairs with a long interval are
+    joined by wider buckets, so that no interval becomes very many rows.
     """
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
-    le = left.select(key, F.col("id"), (F.col("s") - pad).alias("s"), (F.col("e") + pad).alias("e")).where("e > s").withColumn("cell", cells(F.col("s"), F.col("e")))
-    ri = right.select(key, F.col("id").alias("other"), F.col("s").alias("s2"), F.col("e").alias("e2")).where("e2 > s2").withColumn("cell", cells(F.col("s2"), F.col("e2")))
-    return le.join(ri, [key, "cell"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & (F.floor(F.greatest("s", "s2") / width) == F.col("cell"))).select(key, "id", "other")
+    le = left.select(key, F.col("id"), (F.col("s") - pad).alias("s"), (F.col("e") + pad).alias("e")).where("e > s")
+    ri = right.select(key, F.col("id").alias("other"), F.col("s").alias("s2"), F.col("e").alias("e2")).where("e2 > s2")
+    long = lambda a, b: F.col(b) - F.col(a) > LONG * width
+
+    def joined(one: DataFrame, two: DataFrame, wide: int) -> DataFrame:
+        cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / wide), F.floor((F.col(b) - 1) / wide)))
+        both = one.withColumn("cell", cells("s", "e")).join(two.withColumn("cell", cells("s2", "e2")), [key, "cell"])
+        return both.where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & (F.floor(F.greatest("s", "s2") / wide) == F.col("cell"))).select(key, "id", "other")
+
+    short_le, short_ri = le.where(~long("s", "e")), ri.where(~long("s2", "e2"))
+    pairs = joined(short_le, short_ri, width).unionByName(joined(le.where(long("s", "e")), ri, LONG * width))
+    return pairs.unionByName(joined(short_le, ri.where(long("s2", "e2")), LONG * width))
 
 
 def without_overlap(left: DataFrame, right: DataFrame, key: str, *, width: int, pad: int = 0) -> DataFrame:

@@ -109,12 +109,14 @@ def _free(taken: list[tuple[int, int]], s: int, e: int, gap: int) -> bool:
     return (i == len(taken) or e + gap <= taken[i][0]) and (i == 0 or taken[i - 1][1] + gap <= s)
 
 
-def choose(needs: list[tuple[int, int]], options: list[tuple[int, int, int, float]], gap: int, nodes: int = 20_000) -> dict[int, int]:
-    """Assigns demands (id, length) to candidates (id, start, end, score): {demand: candidate}.
+def choose(needs: list[tuple[int, int]], options: list[tuple[int, int, int, float]], gap: int, nodes: int = 20_000, depth: int = 400) -> tuple[dict[int, int], str]:
+    """Assigns demands (id, length) to candidates (id, start, end, score): {demand: candidate}, and how.
 
     Greedy first, longest demand first, best score first, a candidate's opening used (AS2, SR1). If some demand gets none,
     a bounded search with the fewest options first looks for a full assignment (AS3); without one the greedy result stays.
-    Chosen intervals keep ``gap`` between them (C11).
+    Chosen intervals keep ``gap`` between them (C11). How: ``greedy`` (all served), ``searched`` (all served by the search),
+    ``none`` (no assignment serves all), ``unknown`` (the search ended after ``nodes`` steps, or more than ``depth`` demands
+    made it too deep).
     """
     ranked = sorted(options, key=lambda o: (-o[3], o[1], o[0]))
     taken: list[tuple[int, int]] = []
@@ -126,7 +128,9 @@ def choose(needs: list[tuple[int, int]], options: list[tuple[int, int, int, floa
                 insort(taken, (s, s + length))
                 break
     if len(greedy) == len(needs):
-        return greedy
+        return greedy, "greedy"
+    if len(needs) > depth:
+        return greedy, "unknown"
     count = 0
 
     @lru_cache(maxsize=100_000)
@@ -145,23 +149,25 @@ def choose(needs: list[tuple[int, int]], options: list[tuple[int, int, int, floa
         return None
 
     full = search(frozenset(needs), ())
-    return dict(full) if full is not None else greedy
+    if full is not None:
+        return dict(full), "searched"
+    return greedy, "unknown" if count > nodes else "none"
 
 
 def allocate(demands: DataFrame, candidates: DataFrame, *, plan: str, gap: int, most: int = 100_000) -> DataFrame:
     """One assignment per plan: ``demands`` (plan, id, length), ``candidates`` (plan, id, s, e, score).
 
-    Result: plan, demand, candidate (null where none fits). Plans are independent and run side by side.
+    Result: plan, demand, candidate (null where none fits), how (see :func:`choose`). Plans are independent and run side by side.
     """
     types = dict(demands.dtypes)
 
     def solve(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         _bounded(d, most, "allocate")
         _bounded(c, most, "allocate")
-        got = choose(list(zip(d["id"].tolist(), d["length"].tolist(), strict=True)), list(zip(*(c[x].tolist() for x in ("id", "s", "e", "score")), strict=True)), gap)
-        return pd.DataFrame({plan: d[plan], "demand": d["id"], "candidate": pd.array([got.get(x) for x in d["id"]], "Int64")})
+        got, how = choose(list(zip(d["id"].tolist(), d["length"].tolist(), strict=True)), list(zip(*(c[x].tolist() for x in ("id", "s", "e", "score")), strict=True)), gap)
+        return pd.DataFrame({plan: d[plan], "demand": d["id"], "candidate": pd.array([got.get(x) for x in d["id"]], "Int64"), "how": how})
 
-    return demands.groupBy(plan).cogroup(candidates.groupBy(plan)).applyInPandas(solve, f"{plan} {types[plan]}, demand bigint, candidate bigint")
+    return demands.groupBy(plan).cogroup(candidates.groupBy(plan)).applyInPandas(solve, f"{plan} {types[plan]}, demand bigint, candidate bigint, how string")
 
 
 def separated(df: DataFrame, *, group: str, key: str, gap: int, most: int = 1_000_000) -> DataFrame:

@@ -116,15 +116,17 @@ def test_complete_link_against_plain_python(spark):
 def test_choose_finds_an_assignment_where_greedy_fails():
     # the long demand would take the only place of the short one
     needs, options = [(1, 10), (2, 4)], [(7, 0, 10, 5.0), (8, 50, 60, 1.0), (9, 3, 8, 4.0)]
-    got = O.choose(needs, options, 0)
+    got, how = O.choose(needs, options, 0)
+    assert how == "greedy"
     assert set(got) == {1, 2}
-    assert O.choose([(1, 10), (2, 10)], [(7, 0, 10, 1.0)], 0) == {1: 7}
+    assert O.choose([(1, 10), (2, 10)], [(7, 0, 10, 1.0)], 0) == ({1: 7}, "none")
+    assert O.choose([(1, 10), (2, 10)], [(7, 0, 10, 1.0)], 0, depth=1) == ({1: 7}, "unknown")
     r = random.Random(2)
     for _ in range(60):
         needs = [(i, r.randint(1, 6)) for i in range(4)]
         options = [(i, s, s + r.randint(1, 8), r.random()) for i, s in enumerate(r.sample(range(30), 6))]
         gap, got = r.choice([0, 2]), None
-        got = O.choose(needs, options, gap)
+        got, _ = O.choose(needs, options, gap)
         by = {o[0]: o for o in options}
         spans = sorted((by[c][1], by[c][1] + dict(needs)[n]) for n, c in got.items())
         assert all(by[c][2] - by[c][1] >= dict(needs)[n] for n, c in got.items())
