@@ -37,8 +37,8 @@ def mean_vectors(batch, key: str, vectors: str, dims: int, group: str | None = N
     return own[row[first]][ok], groups[row[first]][ok], mean[ok], wants[row[first]][ok]
 
 
-def density_forest(source: DataFrame, *, key: str, vectors: str, radius: float, k: int, least_points: int, dims: int, one_task: int) -> DataFrame:
-    """(u, v, w): the minimum spanning forest of the mutual-reachability graph of all pairs within ``radius``.
+def density_forest(source: DataFrame, *, key: str, vectors: str, radius: float, k: int, least_points: int, dims: int, one_task: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, w): the minimum spanning forest of the mutual-reachability graph of all pairs within ``radius``; and (node, comp) of it.
 
     The distance of a pair is raised to the core distance of both, that is the distance to the ``least_points``-th nearest
     record (the record itself is the first), or the radius, where so many aren't within it.
@@ -88,16 +88,19 @@ def density_forest(source: DataFrame, *, key: str, vectors: str, radius: float,
     while True:
         taken = boruvka(contracted(edges, labels, floors), one_task)
         chosen = cut_lineage(taken if chosen is None else chosen.unionByName(taken))
-        labels = cut_lineage(labels_of(chosen, one_task))
+        labels = cut_lineage(labels_of(chosen, one_task, written=True))
         best = lightest(contracted(edges, labels, None)).select(F.col("c").alias("comp"), F.col("e.w").alias("best"))
         placed = full.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")).join(floors, "node", "left").join(best, "comp", "left")
         asks = F.coalesce("floor", F.lit(float("inf"))) < F.coalesce("best", F.lit(float("inf")))
-        placed = cut_lineage(placed.select(F.col("node").alias("__id"), F.col("comp").alias("__tree"), asks.alias("__asks")))
-        n, open_ = placed.agg(F.count("*"), F.count_if("__asks")).first()
+        placed = cut_lineage(placed.select(F.col("node").alias("__id"), F.col("comp").alias("__tree"), asks.alias("__asks"), F.col("best").isNotNull().alias("__held")))
+        n, open_, held = placed.agg(F.count("*"), F.count_if("__asks"), F.count_if(F.col("__asks") & F.col("__held"))).first()
         if not open_:
-            return chosen
+            return chosen, labels
         again = build_index(rows.join(placed, "__id"), lambda b: mean_vectors(b, "__id", "__v", dims, "__tree", "__asks"), n, "trees", settings(most))
         more, most = cut_lineage(linked(again)), most * 2
+        if not held and not more.limit(1).count():
+            # they only looked whether anything lies outside, and nothing does
+            return chosen, labels
         new = more.join(own, "u", "left").join(core, "v", "left").select("u", "v", F.greatest("d", F.coalesce("cu", F.lit(radius)), F.coalesce("cv", F.lit(radius))).alias("w")) if least_points > 2 else more.select("u", "v", F.col("d").alias("w"))
         edges = cut_lineage(edges.unionByName(reduced(new)))
         # who asked misses nothing below the last that it found, or nothing at all
@@ -136,8 +139,7 @@ def cluster(
     """
     if not 1 <= least_points <= k + 1 or least_size < 2:
         raise ValueError("least_points must be in 1..k + 1, least_size at least 2")
-    forest = density_forest(source, key=key, vectors=vectors, radius=radius, k=k, least_points=least_points, dims=dims, one_task=one_task)
-    labels = cut_lineage(labels_of(forest, one_task))
+    forest, labels = density_forest(source, key=key, vectors=vectors, radius=radius, k=k, least_points=least_points, dims=dims, one_task=one_task)
     edges = cut_lineage(forest.join(labels.select(F.col("node").alias("u"), F.col("comp").alias("tree")), "u").select("tree", "u", "v", "w"))
     found = stable_clusters(edges, radius=radius, epsilon=epsilon, least_size=least_size, tree_edges=tree_edges, one_task=one_task)
     return found.select(F.col("cluster").alias("cluster_id"), F.col("node").alias("key"), "persistence", "typical")

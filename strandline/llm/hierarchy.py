@@ -22,7 +22,7 @@ from strandline.operators.ordered_scan import running
 from strandline.storage import cut_lineage
 
 #: Small trees share a task of about so many edges.
-EDGES_PER_TASK = 20_000
+EDGES_PER_TASK = 5_000
 
 
 def rate(distance: float) -> float:
@@ -119,12 +119,21 @@ class Hierarchy:
         return out
 
 
-def _built(t: pd.DataFrame, least_size: int) -> tuple[Hierarchy, np.ndarray]:
-    """The hierarchy of the rows of a tree, and which items are parts."""
-    both = pd.concat([t[[side, *(f"{side}{c}" for c in "nstxb")]].set_axis(["i", *"nstxb"], axis=1) for side in ("u", "v")]).drop_duplicates("i")
-    w, lo, hi = t["w"].to_numpy(), np.minimum(t["ou"], t["ov"]).to_numpy(), np.maximum(t["ou"], t["ov"]).to_numpy()
-    tree = Hierarchy(both["i"].to_numpy(), *(both[c].to_numpy() for c in "nstx"), t["u"].to_numpy(), t["v"].to_numpy(), w, np.lexsort((hi, lo, w)), least_size)
-    return tree, both["b"].to_numpy(bool)
+def _trees(rows: pd.DataFrame, least_size: int):
+    """Each tree of a frame: its number of the first row, its hierarchy, and which items are parts."""
+    col = {c: rows[c].to_numpy() for c in rows.columns}
+    lo, hi = np.minimum(col["ou"], col["ov"]), np.maximum(col["ou"], col["ov"])
+    order = np.lexsort((hi, lo, col["w"], col["level"], col["tree"]))
+    tree, level = col["tree"][order], col["level"][order]
+    first = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (level[1:] != level[:-1]))) if len(order) else []
+    for at in np.split(order, first[1:]) if len(order) else []:
+        u, v = col["u"][at], col["v"][at]
+        items, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        own = {}
+        for c in "nstxb":
+            own[c] = np.empty(len(items))
+            own[c][place] = np.concatenate([col[f"u{c}"][at], col[f"v{c}"][at]])
+        yield at[0], Hierarchy(items, *(own[c] for c in "nstx"), u, v, col["w"][at], range(len(at)), least_size), own["b"] > 0
 
 
 _SUMMARY = "tree bigint, level int, n double, s double, t double, x double"
@@ -133,10 +142,8 @@ _ITEM = "item bigint, part boolean, mode string, birth double, label string, lea
 
 def _up(least_size: int):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (name, level), t in rows.groupby(["tree", "level"], sort=True):
-            h, _ = _built(t, least_size)
-            out.append((name, level, h.n[h.root], h.s[h.root], h.t[h.root], h.x[h.root]))
+        names = rows["tree"].to_numpy(), rows["level"].to_numpy()
+        out = [(names[0][i], names[1][i], h.n[h.root], h.s[h.root], h.t[h.root], h.x[h.root]) for i, h, _ in _trees(rows, least_size)]
         return pd.DataFrame(out, columns=["tree", "level", *"nstx"])
 
     return solve
@@ -144,21 +151,28 @@ def _up(least_size: int):
 
 def _down(least_size: int, epsilon: float, stage: int):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (name, level), t in rows.groupby(["tree", "level"], sort=True):
-            h, part = _built(t, least_size)
-            mode, birth, label, above = (t[c].iat[0] for c in ("mode", "birth", "label", "leaves"))
-            if mode == "start" and h.n[h.root] < least_size:
-                mode = "set"
-            got = h.decide(mode, birth, label, f"{name}:{level}:{stage}", epsilon)
+        given = {c: rows[c].tolist() for c in ("tree", "level", "mode", "birth", "label", "leaves")}
+        out: dict[str, list] = {c.split()[0]: [] for c in _ITEM.split(", ")}
+        for i, h, part in _trees(rows, least_size):
+            mode = given["mode"][i] if given["mode"][i] != "start" or h.n[h.root] >= least_size else "set"
+            got = h.decide(mode, given["birth"][i], given["label"][i], f"{given['tree'][i]}:{given['level'][i]}:{stage}", epsilon)
+            out["item"] += h.items.tolist()
+            out["part"] += part.tolist()
+            for c, values in zip(("mode", "birth", "label"), zip(*got, strict=True), strict=True):
+                out[c] += values
             # what is still small here leaves where the part as a whole does
-            leaves = np.where(np.isnan(h.leaves_at), above, h.leaves_at)
-            out.append(pd.DataFrame({"item": h.items, "part": part, "mode": [g[0] for g in got], "birth": [g[1] for g in got], "label": [g[2] for g in got], "leaves": leaves}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in _ITEM.split(", ")])
+            out["leaves"] += np.where(np.isnan(h.leaves_at), given["leaves"][i], h.leaves_at).tolist()
+        return pd.DataFrame(out)
 
     return solve
 
 
+def _side_by_side(frame: DataFrame, edges: int, solve, schema: str) -> DataFrame:
+    tasks = max(1, math.ceil(edges / EDGES_PER_TASK))
+    group = F.pmod(F.xxhash64("tree", "level"), F.lit(tasks))
+    return frame.withColumn("g", group).repartition(tasks, "g").groupBy("g").applyInPandas(lambda rows: solve(rows.drop(columns=["g"])), schema)
+
+
 def _stages(edges: DataFrame, tree_edges: int, one_task: int) -> list[DataFrame]:
     """Edges (tree, level, u, v, w, ou, ov, ub, vb) in stages: of a tree that is too large the heaviest ``tree_edges`` make up a
     stage, whose items are the parts that the others leave; these are trees of a later stage, called by their smallest record
@@ -166,9 +180,10 @@ def _stages(edges: DataFrame, tree_edges: int, one_task: int) -> list[DataFrame]
     plain = lambda df: df.select("tree", "level", "u", "v", "w", F.col("u").alias("ou"), F.col("v").alias("ov"), F.lit(False).alias("ub"), F.lit(False).alias("vb"))
     out, edges = [], edges.withColumn("level", F.lit(0))
     while True:
-        large = cut_lineage(edges.groupBy("tree", "level").agg(F.count("*").alias("k")).where(F.col("k") > tree_edges))
-        if not large.limit(1).count():
-            return [*out, cut_lineage(plain(edges))]
+        sizes = edges.groupBy("tree", "level").agg(F.count("*").alias("k"))
+        if (sizes.agg(F.max("k")).first()[0] or 0) <= tree_edges:
+            return [*out, plain(edges)]
+        large = cut_lineage(sizes.where(F.col("k") > tree_edges))
         name = ["tree", "level"]
         own = edges.join(large.select(*name), name, "left_semi").select("tree", "level", "u", "v", "w", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), F.lit(1).cast("bigint").alias("one"))
         placed = cut_lineage(running(own, ["tree", "level", "w", "lo", "hi"], "one", "at"))
@@ -186,7 +201,7 @@ def _stages(edges: DataFrame, tree_edges: int, one_task: int) -> list[DataFrame]
 
 
 def stable_clusters(edges: DataFrame, *, radius: float, epsilon: float, least_size: int, tree_edges: int, one_task: int) -> DataFrame:
-    """Of spanning trees (tree, u, v, w) the chosen clusters: ``node``, ``cluster`` (its smallest node), ``persistence`` (the rate at
+    """Of spanning trees (tree, u, v, w), read from storage, the chosen clusters: ``node``, ``cluster`` (its smallest node), ``persistence`` (the rate at
     which the record falls out), ``typical`` (the most persistent). Records in no cluster don't come out.
 
     Plan: trees are solved side by side, many small ones to a task; a tree of more than ``tree_edges`` edges in stages (see
@@ -205,8 +220,7 @@ def stable_clusters(edges: DataFrame, *, radius: float, epsilon: float, least_si
                 frame = frame.join(to, [side, f"{side}b"], "left").withColumns({f"{side}{c}": F.coalesce(f"{side}{c}", v) for c, v in own.items()})
         solved[i] = frame if known is None else cut_lineage(frame)
         if i:
-            k = max(1, math.ceil(stages[i].count() / EDGES_PER_TASK))
-            up = cut_lineage(solved[i].groupBy(F.pmod(F.xxhash64("tree", "level"), F.lit(k)).alias("g")).applyInPandas(_up(least_size), _SUMMARY))
+            up = cut_lineage(_side_by_side(solved[i], stages[i].count(), _up(least_size), _SUMMARY))
             known = up if known is None else known.unionByName(up)
     given, points = None, None
     for i, frame in enumerate(solved):
@@ -217,8 +231,7 @@ def stable_clusters(edges: DataFrame, *, radius: float, epsilon: float, least_si
             frame = frame.join(given, ["tree", "level"], "left")
             # a tree that is no part of another is a whole one
             frame = frame.withColumns({c: F.when(F.col("mode").isNull(), v).otherwise(F.col(c)) for c, v in start.items() if c != "mode"} | {"mode": F.coalesce("mode", start["mode"])})
-        k = max(1, math.ceil(stages[i].count() / EDGES_PER_TASK))
-        got = frame.groupBy(F.pmod(F.xxhash64("tree", "level"), F.lit(k)).alias("g")).applyInPandas(_down(least_size, epsilon, i), _ITEM)
+        got = _side_by_side(frame, stages[i].count(), _down(least_size, epsilon, i), _ITEM)
         if len(stages) > 1:
             got = cut_lineage(got)
         inner = got.where("part").select(F.col("item").alias("tree"), F.lit(i + 1).alias("level"), "mode", "birth", "label", "leaves")

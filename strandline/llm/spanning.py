@@ -73,7 +73,7 @@ def _settle(parent: DataFrame) -> DataFrame:
 def contracted(edges: DataFrame, labels: DataFrame | None, floors: DataFrame | None) -> DataFrame:
     """Edges (u, v, w) between components (node, comp), the lightest of each two, with the components' floors (node, floor).
 
-    A node without a label is a component of its own. Result, written: cu < cv, w, u, v, fu, fv.
+    A node without a label is a component of its own. Result: cu < cv, w, u, v, fu, fv.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     live = edges.where("u != v").select(low.alias("u"), high.alias("v"), "w").withColumns({"cu": F.col("u"), "cv": F.col("v")})
@@ -91,7 +91,7 @@ def contracted(edges: DataFrame, labels: DataFrame | None, floors: DataFrame | N
             live = live.withColumn(f"f{side}", F.lit(float("inf")))
         else:
             live = live.join(known.select(F.col("c").alias(f"c{side}"), F.col("floor").alias(f"f{side}")), f"c{side}", "left").fillna({f"f{side}": float("inf")})
-    return cut_lineage(live.select("cu", "cv", "w", "u", "v", "fu", "fv"))
+    return live.select("cu", "cv", "w", "u", "v", "fu", "fv")
 
 
 def lightest(live: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def boruvka(live: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     halves the components that may go on. Tables of a round are cut from their lineage in the shared folder. Once
     ``one_task`` edges or fewer are left, one task does the same rounds in memory.
     """
-    chosen = None
+    chosen, live = None, cut_lineage(live)
     while live.count() > one_task:
         best = lightest(live)
         best = cut_lineage(best.select("c", F.when(F.col("e.w") <= F.col("f"), F.col("e.o")).otherwise(F.col("c")).alias("p"), "e.w", "e.u", "e.v", "f"))
@@ -147,9 +147,9 @@ def spanning_forest(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFra
     return boruvka(contracted(edges, None, None), one_task)
 
 
-def labels_of(forest: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """(node, comp) of every node in a forest's edges; comp is the smallest node of the tree."""
-    edges = cut_lineage(forest.select("u", "v"))
+def labels_of(forest: DataFrame, one_task: int = ONE_TASK_EDGES, written: bool = False) -> DataFrame:
+    """(node, comp) of every node in a forest's edges; comp is the smallest node of the tree. ``written``: it's read from storage."""
+    edges = forest.select("u", "v") if written else cut_lineage(forest.select("u", "v"))
     if edges.count() <= one_task:
 
         def label(rows: pd.DataFrame) -> pd.DataFrame:

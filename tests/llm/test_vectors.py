@@ -329,7 +329,7 @@ def test_the_forest_is_that_of_all_pairs(spark, one_task, least_points):
     vs = [v + 1e-3 * rng.standard_normal(DIMS) for v in [e[0]] * 12 + [e[0] + 0.3 * e[1]] * 12]
     vs += [e[0] + 0.5 * e[2 + i % 6] + 0.02 * rng.standard_normal(DIMS) for i in range(14)] + [e[9] + 0.1 * rng.standard_normal(DIMS) for _ in range(3)]
     rows = [(i, [[float(np.float32(x)) for x in v]]) for i, v in enumerate(vs)]
-    forest = density_forest(spark.createDataFrame(rows, VS), key="id", vectors="vs", radius=0.2, k=4, least_points=least_points, dims=DIMS, one_task=one_task).collect()
+    forest = density_forest(spark.createDataFrame(rows, VS), key="id", vectors="vs", radius=0.2, k=4, least_points=least_points, dims=DIMS, one_task=one_task)[0].collect()
     want = true_forest([r[1][0] for r in rows], 0.2, least_points)
     assert len(forest) == len(want)
     assert sorted(x.w for x in forest) == pytest.approx(sorted(w for _, _, w in want), abs=3e-6)
