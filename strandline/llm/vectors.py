@@ -118,12 +118,14 @@ class Tree:
         return node - (1 << self.depth)
 
 
-def _descend(depth: int, axis: np.ndarray, cut: np.ndarray, bounds, y: np.ndarray, d: np.ndarray, mass: np.ndarray, rows: np.ndarray, least: float):
+def _descend(depth: int, axis: np.ndarray, cut: np.ndarray, bounds, y: np.ndarray, d: np.ndarray, mass: np.ndarray, rows: np.ndarray, least: float | np.ndarray):
     """Of a tree's leaves: number, bounds, and which rows may have a vector at distance ``d`` in it with which chance.
 
     A projected difference is ``d`` times a standard normal number in each direction, so the chance of a node is that of its
-    parent times the share of the normal distribution on its side of the cut. Chances below ``least`` aren't followed.
+    parent times the share of the normal distribution on its side of the cut. Chances below ``least`` (one number, or one
+    for each row of ``y``) aren't followed. Leaves come in the order of their numbers.
     """
+    limits = np.ndim(least) > 0
     stack = [(1, bounds, rows, mass)]
     while stack:
         node, (low, high), own, chance = stack.pop()
@@ -138,8 +140,8 @@ def _descend(depth: int, axis: np.ndarray, cut: np.ndarray, bounds, y: np.ndarra
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.nan_to_num((here - below) / (above - below), nan=0.5)
         share = np.clip(share, 0, 1)
-        for side, part in ((0, chance * share), (1, chance * (1 - share))):
-            on = part >= least
+        for side, part in ((1, chance * (1 - share)), (0, chance * share)):
+            on = part >= (least[own] if limits else least)
             if on.any():
                 b = (low, high.copy()) if side == 0 else (low.copy(), high)
                 b[1 - side][j] = c
@@ -325,10 +327,8 @@ class _Cell:
     """A cell as read back: its tree and its leaves' boxes at first, vectors when a leaf is opened."""
 
     def __init__(self, fs, folder: str, m: int, dims: int):
-        import pyarrow.dataset as ds
-
-        self._data, self._dims, self._full = ds.dataset(folder, format="parquet", filesystem=fs), dims, None
-        t = self._data.to_table(columns=["leaf", "low", "high", "one", "tree"], filter=ds.field("leaf") >= 0)
+        self._at, self._dims, self._full = (fs, folder), dims, None
+        t = self._read("leaf", "low", "high", "one", "tree")
         leaf = t.column("leaf").to_numpy()
         order = np.argsort(leaf)
         self.place = {int(x): i for i, x in enumerate(leaf[order])}
@@ -340,14 +340,22 @@ class _Cell:
         one = t.column("one").to_pylist()
         self.pure = np.array([len(x) > 0 for x in one], bool)[order]
         self.one = np.frombuffer(b"".join(x or bytes(8) for x in one), "int64")[order]
-        self.size = self.low.nbytes * 2 + len(shape)
+        #: Bytes of what stays, with the objects around it, and of the vectors.
+        self.shape_size, self.size = self.low.nbytes * 2 + len(shape) + 4096 + 128 * len(leaf), 0
+
+    def _read(self, *columns: str) -> pa.Table:
+        import pyarrow.dataset as ds
+
+        fs, folder = self._at
+        return ds.dataset(folder, format="parquet", filesystem=fs).to_table(columns=list(columns), filter=ds.field("leaf") >= 0)
+
+    def forget(self) -> None:
+        self._full, self.size = None, 0
 
     def vectors(self, i: int):
         """Of the i-th leaf: keys, groups, raw vectors, unit vectors, which are queries."""
         if self._full is None:
-            import pyarrow.dataset as ds
-
-            t = self._data.to_table(columns=["leaf", "keys", "grps", "vecs", "asks"], filter=ds.field("leaf") >= 0).to_pylist()
+            t = self._read("leaf", "keys", "grps", "vecs", "asks").to_pylist()
             t.sort(key=lambda r: r["leaf"])
             self._full = []
             for r in t:
@@ -375,25 +383,46 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 class _Shelf:
-    """Cells that a worker remembers, the least recently used go first."""
+    """Cells that a worker remembers, the least recently used go first: vectors before the trees and boxes, which each
+    search needs of all cells and which take up to a half of the room."""
 
     def __init__(self, index: Index):
         self._fs, self._root = _file_system(index.path)
-        self.index, self._s, self._kept = index, index.settings, OrderedDict()
+        self.index, self._s = index, index.settings
+        self._kept: OrderedDict[int, _Cell] = OrderedDict()
+        self._full: OrderedDict[int, _Cell] = OrderedDict()
+        self._shapes = 0
 
     def cell(self, number: int) -> _Cell:
         if number not in self._kept:
-            while self._kept and sum(c.size for c in self._kept.values()) > self._s.cache_bytes:
-                self._kept.popitem(last=False)
+            while self._kept and self._shapes > self._s.cache_bytes // 2:
+                gone, old = self._kept.popitem(last=False)
+                self._shapes -= old.shape_size
+                self._full.pop(gone, None)
             self._kept[number] = _Cell(self._fs, f"{self._root}/cell={number}", self._s.projected, self._s.dims)
+            self._shapes += self._kept[number].shape_size
         self._kept.move_to_end(number)
         return self._kept[number]
 
+    def vectors(self, number: int, i: int):
+        """See :meth:`_Cell.vectors`; what the cell holds is forgotten again by the bound of bytes."""
+        cell = self.cell(number)
+        if number not in self._full:
+            while self._full and self._shapes + sum(c.size for c in self._full.values()) > self._s.cache_bytes:
+                self._full.popitem(last=False)[1].forget()
+            self._full[number] = cell
+        self._full.move_to_end(number)
+        return cell.vectors(i)
+
 
 #: Steps of half a power of two in which chances are sorted.
 _STEPS = 64
 
 
+def _step(chance: np.ndarray) -> np.ndarray:
+    return np.minimum(-2 * np.log2(np.maximum(chance, 1e-30)), _STEPS - 1).astype("int64")
+
+
 class _Search:
     """All queries of a task at once: cell by cell, those that a cell may still help."""
 
@@ -403,7 +432,7 @@ class _Search:
         self.own = {}
         parts, n = [], 0
         for number, leaf in leaves:
-            *part, asks = shelf.cell(number).vectors(shelf.cell(number).place[leaf])
+            *part, asks = shelf.vectors(number, shelf.cell(number).place[leaf])
             part = [x[asks] for x in part]
             self.own.setdefault(number, []).append((leaf, np.arange(n, n + len(part[0]))))
             n += len(part[0])
@@ -414,50 +443,65 @@ class _Search:
         self.bound = np.full(n, np.float32(self.least - 1e-6))
         self.best = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
         self.far = chi_square_limit(s.projected, s.least_chance / 2) if s.least_chance > 0 else np.inf
+        # a leaf's queries so far; the last round needs no note of its own
         self.seen: dict[tuple[int, int], np.ndarray] = {}
+        self.mark = np.zeros(n, bool)
 
     def run(self):
         """Keys, groups, neighbours' keys, their groups and cosines, at most k to a query, sorted by query."""
         for number, own in self.own.items():
-            self._visit(number, own)
+            self._visit(number, own, True)
         chance = self.index.settings.least_chance
-        for left in (0.4, chance) if chance > 0 else (0.0,):
+        rounds = (0.4, chance) if chance > 0 else (0.0,)
+        for left in rounds:
             for number, wanted in self._chosen(left):
-                self._visit(number, wanted)
+                self._visit(number, wanted, left != rounds[-1])
         return self.keys[self.best[0]], self.groups[self.best[0]], *self.best[1:]
 
-    def _chosen(self, left: float):
-        """Per cell the leaves and the queries that open them, so that each query's closed leaves have less than ``left`` chance."""
-        tree, m, n = self.index.tree, self.index.settings.projected, len(self.keys)
+    def _chosen(self, left: float) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+        """Per cell the leaves and the queries that open them, so that each query's closed leaves have less than ``left`` chance.
+
+        Leaves within reach grow with the collection, so no list of them is kept: the first walk only sums the chances by
+        step, the second follows what reaches a query's own step and gives it cell by cell.
+        """
+        n = len(self.keys)
         if not n:
-            return []
+            return
         d = np.sqrt(np.maximum(2 - 2 * self.bound.astype("float64"), 1e-12))
-        least = left * 1e-3
-        entries = []
+        least, last = left * 1e-3, np.full(n, _STEPS)
+        if left > 0:
+            sums = np.zeros((n, _STEPS))
+            for _, reached in self._reached(d, least):
+                for _, rows, chance in reached:
+                    sums[rows, _step(chance)] += chance
+            # the first step at which enough is open
+            last = (np.cumsum(sums, 1) < 1 - left).sum(1)
+            # nothing below belongs to a query's last step; a little less, for the logarithm's rounding
+            least = np.where(last < _STEPS - 1, np.maximum(least, 2.0 ** (-(last + 1) / 2) * (1 - 1e-9)), least)
+        for number, reached in self._reached(d, least):
+            wanted = [(leaf, on) for leaf, rows, chance in reached if len(on := rows[_step(chance) <= last[rows]])]
+            if wanted:
+                yield number, wanted
+
+    def _reached(self, d: np.ndarray, least: float | np.ndarray):
+        """Per cell, in the order of their numbers: its leaves with the queries that may have a vector there, and the chance."""
+        tree, m, n = self.index.tree, self.index.settings.projected, len(self.keys)
         everywhere = (np.full(m, -np.inf), np.full(m, np.inf))
         for number, bounds, rows, chance in _descend(tree.depth, tree.axis, tree.cut, everywhere, self.y, d, np.ones(n), np.arange(n), least):
             if number in self.index.cells:
                 cell = self.shelf.cell(number)
-                entries += [(number, leaf, r, c) for leaf, _, r, c in _descend(cell.depth, cell.axis, cell.cut, bounds, self.y, d, chance, rows, least) if leaf in cell.place]
-        steps = [np.minimum(-2 * np.log2(np.maximum(c, 1e-30)), _STEPS - 1).astype("int64") for *_, c in entries]
-        sums = np.zeros((n, _STEPS))
-        for (_, _, rows, chance), step in zip(entries, steps, strict=True):
-            sums[rows, step] += chance
-        # the first step at which enough is open
-        last = np.where(left > 0, (np.cumsum(sums, 1) < 1 - left).sum(1), _STEPS)
-        chosen: dict[int, list] = {}
-        for (number, leaf, rows, _), step in zip(entries, steps, strict=True):
-            on = rows[step <= last[rows]]
-            if len(on):
-                chosen.setdefault(number, []).append((leaf, on))
-        return sorted(chosen.items())
-
-    def _visit(self, number: int, wanted: list[tuple[int, np.ndarray]]) -> None:
+                yield number, ((leaf, r, c) for leaf, _, r, c in _descend(cell.depth, cell.axis, cell.cut, bounds, self.y, d, chance, rows, least) if leaf in cell.place)
+
+    def _visit(self, number: int, wanted: list[tuple[int, np.ndarray]], again: bool) -> None:
+        """Verifies the vectors of a cell's leaves for the queries that open them; ``again``: a later round may open them too."""
         s, cell, found = self.index.settings, self.shelf.cell(number), []
         for leaf, q in wanted:
             j = cell.place[leaf]
-            seen = self.seen.setdefault((number, leaf), np.zeros(len(self.keys), bool))
-            q = q[~seen[q]]
+            seen = self.seen.get((number, leaf))
+            if seen is not None:
+                self.mark[seen] = True
+                q = q[~self.mark[q]]
+                self.mark[seen] = False
             if cell.pure[j]:
                 q = q[self.groups[q] != cell.one[j]]
             # a leaf of the query itself has no gap
@@ -465,8 +509,9 @@ class _Search:
             q = q[np.einsum("qm,qm->q", gap, gap) <= self.far * np.maximum(2 - 2 * self.bound[q], 1e-6)] if self.far < np.inf else q
             if not len(q):
                 continue
-            seen[q] = True
-            keys, groups, raw, units, _ = cell.vectors(j)
+            if again:
+                self.seen[number, leaf] = (q if seen is None else np.concatenate([seen, q])).astype("int32")
+            keys, groups, raw, units, _ = self.shelf.vectors(number, j)
             for part in np.array_split(q, -(-len(q) // 2048)):
                 near = np.flatnonzero((self.units[part] @ units.T >= self.bound[part][:, None]).ravel())
                 if not len(near):
@@ -484,15 +529,15 @@ class _Search:
         touched = np.zeros(len(self.keys), bool)
         for x in found:
             touched[x[0]] = True
-        again = touched[self.best[0]]
-        qi, k2, g2, c = (np.concatenate([*(x[i] for x in found), self.best[i][again]]) for i in range(4))
+        held = touched[self.best[0]]
+        qi, k2, g2, c = (np.concatenate([*(x[i] for x in found), self.best[i][held]]) for i in range(4))
         order = np.lexsort((k2, -c, qi))
         qi, k2, g2, c = qi[order], k2[order], g2[order], c[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
         keep, full = place < s.k, place == s.k - 1
         # an equal cosine of a smaller key still counts, and single precision is a little off
         self.bound[qi[full]] = np.maximum(self.bound[qi[full]], (c[full] - 2e-6).astype("float32"))
-        merged = [np.concatenate([x[~again], y[keep]]) for x, y in zip(self.best, (qi, k2, g2, c), strict=True)]
+        merged = [np.concatenate([x[~held], y[keep]]) for x, y in zip(self.best, (qi, k2, g2, c), strict=True)]
         order = np.argsort(merged[0], kind="stable")
         self.best = [x[order] for x in merged]
 

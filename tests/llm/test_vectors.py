@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.llm.clusters import cluster, density_forest
 from strandline.llm.hierarchy import Hierarchy, stable_clusters
 from strandline.llm.spanning import forest_of, labels_of, spanning_forest
-from strandline.llm.vectors import SearchSettings, Tree, _descend, chi_square_limit, normal, similar_pairs
+from strandline.llm.vectors import SearchSettings, Tree, _descend, _Search, _Shelf, build_index, chi_square_limit, keyed_vectors, normal, similar_pairs
 
 DIMS = 16
 SCHEMA = "id bigint, ks array<bigint>, vs array<array<float>>, rs array<bigint>, ws array<array<float>>"
@@ -356,3 +357,21 @@ def test_clusters_of_unequal_density_are_told_apart(spark):
     assert [[x for x in c if x < 60] for c in got] == [list(range(30)), list(range(30, 60))]
     # as components of all pairs within the radius they'd be one
     assert members(cluster(df, key="id", vectors="vs", dims=DIMS, radius=0.2, epsilon=0.2, least_points=2).collect()) == [list(range(61))]
+
+
+def test_a_task_keeps_no_list_of_the_leaves_within_reach(spark):
+    rng = np.random.default_rng(8)
+    settings = SearchSettings(dims=DIMS, leaf_rows=4, cell_rows=64)
+    rows = [(i, [i], v.tolist()) for i, v in enumerate(rng.standard_normal((3000, DIMS)))]
+    df = spark.createDataFrame([(i, k, [v]) for i, k, v in rows], "__id bigint, ks array<bigint>, vs array<array<float>>")
+    index = build_index(df, lambda b: keyed_vectors(b, "__id", [("ks", "vs")], DIMS), 3000, "vectors", settings)
+    leaves = sorted((x.cell, x.leaf) for x in index.rows(spark).where("leaf >= 0").select("cell", "leaf").collect())
+    assert len(leaves) > 500
+    tracemalloc.start()
+    search = _Search(_Shelf(index), leaves)
+    search.run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(search.keys) == 3000 and peak < 20_000_000
+    # the last round opens most leaves and notes none
+    assert sum(x.nbytes for x in search.seen.values()) < 3_000_000
