@@ -9,6 +9,7 @@ from strandline.functions import maths as M
 from strandline.functions import text as X
 from strandline.operators import graph
 from strandline.operators import relational as R
+from strandline.operators.boxes import sole_owner
 from strandline.operators.ordered_scan import running
 from strandline.operators.similar import similar_blocks
 from strandline.sources.tables import observations, table
@@ -131,9 +132,7 @@ def iou_pairs(spark, sf):
 @query("containment_owner", _BOX + """, c as (select a.k, o.k as owner from b a join b o on a.g = o.g and a.k <> o.k and a.x >= o.x and a.y >= o.y and a.x + a.w <= o.x + o.w and a.y + a.h <= o.y + o.h)
 select k, min(owner) as owner from c group by k having count(*) = 1""")
 def containment_owner(spark, sf):
-    a, o = _boxes(spark, sf), _boxes(spark, sf).select("g", *[F.col(c).alias(f"{c}2") for c in "kxywh"])
-    inside = a.join(o, "g").where("k <> k2 and x >= x2 and y >= y2 and x + w <= x2 + w2 and y + h <= y2 + h2")
-    return inside.groupBy("k").agg(F.min("k2").alias("owner"), F.count("*").alias("n")).where("n = 1").select("k", "owner")
+    return sole_owner(_boxes(spark, sf), group="g", key="k")
 
 
 @query("argmax_margin", "select sample_id, label, round(m, 6) + 0.0 as margin from (select sample_id, case when greatest(a, b, c) < 0.22 then 'neutral' when a >= b and a >= c then 'clear' when b >= c then 'close' else 'mouth' end as label, greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c)) as m from (select distinct sample_id, coalesce(clear_face, 0) as a, coalesce(closeup_score, 0) as b, coalesce(mouth_clarity, 0) as c from samples))")
