@@ -1,4 +1,4 @@
-"""Boxes and the boxes of their group: equal ones count as one, so that work grows with the different boxes and with the result."""
+"""Pairs of boxes within groups: equal ones count as one, so that work grows with the different boxes and with the result."""
 
 from __future__ import annotations
 
@@ -7,9 +7,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.storage import cut_lineage
+
+_XYWH = ("x", "y", "w", "h")
 _CORNERS = ["x1", "y1", "x2", "y2"]
 
 
+def overlapping(df: DataFrame, *, group: str, key: str, measure, least: float, block_rows: int = 512) -> DataFrame:
+    """Pairs of rows of a group whose boxes (x, y, w, h) have a ``measure`` of at least ``least``: ``key`` < other, iou.
+
+    ``measure(x, y, w, h, x2, y2, w2, h2)`` gives a column that is the same for both orders of a pair. Repeated rows give
+    repeated pairs; rows without a key or a group take no part.
+
+    Plan: equal boxes become one row with their keys; the different boxes of a group are cut into blocks by hash, each block
+    meets all of its group, and only what is above the limit is spread to keys again. A hot group spreads over its blocks.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("key"), *_XYWH)
+    once = cut_lineage(rows.groupBy("g", *_XYWH).agg(F.collect_list("key").alias("keys")).withColumn("i", F.monotonically_increasing_id()))
+    sizes = once.groupBy("g").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    total = sizes.agg(F.sum("blocks")).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 8))
+    cut = once.join(sizes, "g")
+    left = cut.withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).drop("blocks").repartition(tasks, "g", "block")
+    right = cut.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in ("i", "keys", *_XYWH)]).repartition(tasks, "g", "block")
+    value = measure(*[F.col(c) for c in _XYWH], *[F.col(f"{c}2") for c in _XYWH])
+    met = left.hint("merge").join(right, ["g", "block"]).where("i <= i2").withColumn("iou", value).where(F.col("iou") >= least)
+    spread = met.select(F.explode("keys").alias("a"), "keys2", "iou", (F.col("i") == F.col("i2")).alias("same")).select("a", F.explode("keys2").alias("b"), "iou", "same")
+    # within one box a pair comes in both orders
+    return spread.where("a < b or (a > b and not same)").select(F.least("a", "b").alias(key), F.greatest("a", "b").alias("other"), "iou")
+
+
 def _held(boxes: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Of different boxes (corners): those that other boxes of a total weight of ``most`` at most hold, and that weight.
 

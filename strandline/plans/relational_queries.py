@@ -9,7 +9,7 @@ from strandline.functions import maths as M
 from strandline.functions import text as X
 from strandline.operators import graph
 from strandline.operators import relational as R
-from strandline.operators.boxes import sole_owner
+from strandline.operators.boxes import overlapping, sole_owner
 from strandline.operators.ordered_scan import running
 from strandline.operators.similar import similar_blocks
 from strandline.sources.tables import observations, table
@@ -124,9 +124,7 @@ def _boxes(spark, sf):
 
 @query("iou_pairs", _BOX + _IOU + " select k, other, round(n / greatest(1, s - n), 6) as iou from i where n / greatest(1, s - n) >= 0.45")
 def iou_pairs(spark, sf):
-    a, b = _boxes(spark, sf), _boxes(spark, sf).select("g", *[F.col(c).alias(f"{c}2") for c in "kxywh"])
-    both = a.join(b, "g").where("k < k2").withColumn("iou", M.iou(*[F.col(c) for c in ("x", "y", "w", "h", "x2", "y2", "w2", "h2")]))
-    return both.where("iou >= 0.45").select("k", F.col("k2").alias("other"), F.round("iou", 6).alias("iou"))
+    return overlapping(_boxes(spark, sf), group="g", key="k", measure=M.iou, least=0.45).withColumn("iou", F.round("iou", 6))
 
 
 @query("containment_owner", _BOX + """, c as (select a.k, o.k as owner from b a join b o on a.g = o.g and a.k <> o.k and a.x >= o.x and a.y >= o.y and a.x + a.w <= o.x + o.w and a.y + a.h <= o.y + o.h)
