@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -22,12 +23,12 @@ def _model(name: str, load: Callable[[], Callable], fallback: Callable[[], Calla
     return _LOADED[name]
 
 
-def _answers(model: Callable, rows: pd.DataFrame, columns: list[str], check: Callable[[pd.DataFrame], bool] | None) -> Iterable[tuple[pd.DataFrame, pd.DataFrame | None, str | None]]:
-    """Batches with their answer, or with None and why a single row has none. What fails is halved and tried again (UD5, UD10)."""
+def _answers(model: Callable, rows: pd.DataFrame, start: int, end: int, columns: list[str], check: Callable[[pd.DataFrame], bool] | None) -> Iterable[tuple[int, int, pd.DataFrame | None, str | None]]:
+    """Parts of ``rows`` with their answer, or with None and why a single row has none. What fails is halved and tried again (UD5, UD10)."""
     why = None
     try:
-        out = model(rows)
-        if len(out) != len(rows) or any(c not in out for c in columns):
+        out = model(rows.iloc[start:end])
+        if len(out) != end - start or any(c not in out for c in columns):
             why = "answer of another shape"
         elif check is not None and not check(out):
             why = "answer that isn't valid"
@@ -36,13 +37,24 @@ def _answers(model: Callable, rows: pd.DataFrame, columns: list[str], check: Cal
     except ValueError as e:
         why = str(e)
     if why is None:
-        yield rows, out, None
-    elif len(rows) == 1:
-        yield rows, None, why
+        yield start, end, out, None
+    elif end - start == 1:
+        yield start, end, None, why
     else:
-        half = len(rows) // 2
-        yield from _answers(model, rows.iloc[:half], columns, check)
-        yield from _answers(model, rows.iloc[half:], columns, check)
+        half = start + (end - start) // 2
+        yield from _answers(model, rows, start, half, columns, check)
+        yield from _answers(model, rows, half, end, columns, check)
+
+
+def _joined(parts: list[tuple[int, int, pd.DataFrame | None, str | None]], column: str, n: int):
+    """A column of all parts; null where a row has no answer."""
+    if all(out is not None for *_, out, _ in parts):
+        return np.concatenate([out[column].to_numpy() for *_, out, _ in parts])
+    values = np.full(n, None, object)
+    for start, end, out, _ in parts:
+        if out is not None:
+            values[start:end] = out[column].to_numpy()
+    return values
 
 
 def observed(
@@ -54,7 +66,8 @@ def observed(
     per worker, ``fallback`` where it fails. A batch that fails (no memory, wrong shape, not valid by ``check``, ValueError)
     is halved until single rows fail; these come out with nulls and the reason, so no row is lost and none stops the job.
 
-    Plan: no shuffle; only the key and the inputs reach Python, in Arrow batches.
+    Plan: the key and the inputs are dealt out evenly over tasks, as a model's work isn't seen in the size of its table, and
+    reach Python in Arrow batches.
     """
     columns = [c.strip().split()[0] for c in schema.split(",")]
     kind = dict(df.dtypes)[key]
@@ -62,15 +75,19 @@ def observed(
     def run(batches):
         model = _model(name, load, fallback)
         for rows in batches:
-            for i in range(0, len(rows), batch):
-                for given, out, why in _answers(lambda r: model(r[inputs]), rows.iloc[i : i + batch], columns, check):
-                    frame = pd.DataFrame({key: given[key]})
-                    for c in columns:
-                        frame[c] = None if out is None else out[c].to_numpy()
-                    frame["problem"] = why
-                    yield frame
-
-    return df.select(key, *[c for c in inputs if c != key]).mapInPandas(run, f"{key} {kind}, {schema}, problem string")
+            given, n = rows[inputs], len(rows)
+            parts = [x for i in range(0, n, batch) for x in _answers(model, given, i, min(i + batch, n), columns, check)]
+            if parts:
+                problem = np.full(n, None, object)
+                for start, end, _, why in parts:
+                    problem[start:end] = why
+                frame = pd.concat([rows[[key]].reset_index(drop=True), *[pd.Series(_joined(parts, c, n)) for c in columns], pd.Series(problem)], axis=1)
+                frame.columns = [key, *columns, "problem"]
+                yield frame
+
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.select(key, *[c for c in inputs if c != key]).repartition(tasks).mapInPandas(run, f"{key} {kind}, {schema}, problem string")
 
 
 def observed_within(df: DataFrame, chosen: DataFrame, *, on: list[str], **how) -> DataFrame:

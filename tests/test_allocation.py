@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,20 @@ def test_a_model_that_fails_loses_no_row(spark):
     assert got == {i: (2 * i, None) if i != 5 else (None, "five") for i in range(9)}
 
 
+def test_a_small_table_is_dealt_out_to_all_tasks(spark):
+    def load():
+        return lambda rows: pd.DataFrame({"y": [bool(x % 2) for x in rows["x"]]})
+
+    def check(out):
+        return not out["y"].any()
+
+    df = spark.range(1000).select(F.col("id"), F.col("id").alias("x")).coalesce(1)
+    got = models.observed(df, key="id", inputs=["x"], name="t2", load=load, schema="y boolean", check=check).withColumn("task", F.spark_partition_id()).collect()
+    assert {x.id: (x.y, x.problem) for x in got} == {i: (None, "answer that isn't valid") if i % 2 else (False, None) for i in range(1000)}
+    tasks = Counter(x.task for x in got)
+    assert len(tasks) >= 4 and max(tasks.values()) <= 1000 // len(tasks) + 1
+
+
 @pytest.mark.parametrize("gap", [1, 40, 1000])
 def test_separated_over_partitions(spark, gap):
     r = random.Random(gap)
