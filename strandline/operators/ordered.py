@@ -1,7 +1,8 @@
 """Operators whose result depends on the order of decisions: suppression, grouping, allocation.
 
-Each works on one bounded problem instance at a time (a frame's boxes, a block of vectors, one plan's demands); instances
-run side by side in ``applyInPandas``. An instance above ``most`` rows is an error, not a cut.
+Suppression reads a frame's boxes in order and holds what it keeps. Each of the others works on one bounded problem instance
+at a time (a block of vectors, one plan's demands); instances run side by side in ``applyInPandas``. An instance above ``most``
+rows is an error, not a cut.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _bounded(rows: pd.DataFrame, most: int, what: str) -> None:
@@ -20,25 +22,52 @@ def _bounded(rows: pd.DataFrame, most: int, what: str) -> None:
         raise ValueError(f"{what}: an instance of {len(rows)} rows, {most} are the most; divide it by a finer group")
 
 
-def suppress(df: DataFrame, *, group: str, key: str, limit: float = 0.6, most: int = 20_000) -> DataFrame:
+def suppress(df: DataFrame, *, group: str, key: str, limit: float = 0.6, block_rows: int = 512) -> DataFrame:
     """Greedy suppression (CL9): boxes (x, y, w, h, score) of a group, best score first; one that overlaps a kept one by
-    ``limit`` or more goes. Result: group, key of the kept. Ties go by key."""
+    ``limit`` or more goes. Result: group, key of the kept. Ties go by key; nulls of group or key are values of their own.
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        _bounded(rows, most, "suppress")
-        rows = rows.sort_values(["score", key], ascending=[False, True])
-        b, kept = rows[["x", "y", "w", "h"]].to_numpy("float64"), []
-        for i in range(len(b)):
-            o = b[kept]
-            w = np.minimum(b[i, 0] + b[i, 2], o[:, 0] + o[:, 2]) - np.maximum(b[i, 0], o[:, 0])
-            h = np.minimum(b[i, 1] + b[i, 3], o[:, 1] + o[:, 3]) - np.maximum(b[i, 1], o[:, 1])
-            n = np.maximum(w, 0) * np.maximum(h, 0)
-            if not (n / np.maximum(1, b[i, 2] * b[i, 3] + o[:, 2] * o[:, 3] - n) >= limit).any():
-                kept.append(i)
-        return rows.iloc[kept][[group, key]]
+    Plan: one shuffle by group and a sort that may spill; a group is read in its order, batch by batch, and only the boxes
+    kept so far are held, so a group may have any number of rows.
+    """
+
+    def alike(a: np.ndarray, o: np.ndarray) -> np.ndarray:
+        w = np.minimum(a[:, None, 0] + a[:, None, 2], o[:, 0] + o[:, 2]) - np.maximum(a[:, None, 0], o[:, 0])
+        h = np.minimum(a[:, None, 1] + a[:, None, 3], o[:, 1] + o[:, 3]) - np.maximum(a[:, None, 1], o[:, 1])
+        n = np.maximum(w, 0) * np.maximum(h, 0)
+        return n / np.maximum(1, a[:, None, 2] * a[:, None, 3] + o[:, 2] * o[:, 3] - n) >= limit
+
+    def keep(batches):
+        held, size, last = np.zeros((64, 4)), 0, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            own, b, kept = rows[group], rows[["x", "y", "w", "h"]].to_numpy("float64"), []
+            before = pd.concat([pd.Series([last], dtype=object), own.iloc[:-1].astype(object)], ignore_index=True)
+            own = own.astype(object).reset_index(drop=True)
+            new, last = ((own != before) & ~(own.isna() & before.isna())).to_numpy(), own.iloc[-1]
+            # a block lies within one group
+            cuts = np.union1d(np.flatnonzero(new), np.arange(block_rows, len(b), block_rows))
+            for at in np.split(np.arange(len(b)), cuts[cuts > 0]):
+                if new[at[0]]:
+                    size = 0
+                for start in range(0, size, 4096):
+                    at = at[~alike(b[at], held[start : min(start + 4096, size)]).any(1)]
+                among, on = alike(b[at], b[at]), np.ones(len(at), bool)
+                for i in range(len(at)):
+                    if on[i]:
+                        on[i + 1 :] &= ~among[i, i + 1 :]
+                at = at[on]
+                while size + len(at) > len(held):
+                    held = np.concatenate([held, np.zeros_like(held)])
+                held[size : size + len(at)] = b[at]
+                size += len(at)
+                kept.append(at)
+            yield rows.iloc[np.concatenate(kept)][[group, key]]
 
     types = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(keep, f"{group} {types[group]}, {key} {types[key]}")
+    score = F.when(~F.isnan(F.col("score").cast("double")), F.col("score"))
+    ranked = df.repartition(group).sortWithinPartitions(F.col(group), score.desc_nulls_last(), F.col(key).asc_nulls_last())
+    return ranked.select(group, key, "x", "y", "w", "h").mapInPandas(keep, f"{group} {types[group]}, {key} {types[key]}")
 
 
 def complete_link(df: DataFrame, *, block: str, key: str, vector: str, limit: float, apart: str | None = None, most: int = 5_000) -> DataFrame:

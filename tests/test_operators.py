@@ -213,3 +213,31 @@ def test_cache_digest_and_xml(spark, tmp_path):
     assert files.read_cache(spark, at, "k string, v int").count() == 1
     (tmp_path / "p.xml").write_text("<r><Item id='1'><Name>n</Name></Item><Item id='2'/></r>")
     assert {tuple(x) for x in files.objects(spark, str(tmp_path / "p.xml"), "Item", "_id int, Name string").collect()} == {(1, "n"), (2, None)}
+
+
+def kept_in_order(rows, limit):
+    kept = {}
+    for g, k, x, y, w, h, _ in sorted((r for r in rows), key=lambda r: (r[0] or 0, -r[6], r[1])):
+        for x2, y2, w2, h2, _ in kept.setdefault(g, []):
+            n = max(0, min(x + w, x2 + w2) - max(x, x2)) * max(0, min(y + h, y2 + h2) - max(y, y2))
+            if n / max(1, w * h + w2 * h2 - n) >= limit:
+                break
+        else:
+            kept[g].append((x, y, w, h, k))
+    return sorted(((g, k) for g, boxes in kept.items() for *_, k in boxes), key=str)
+
+
+@pytest.mark.parametrize(("seed", "span", "block"), [(0, 40, 512), (1, 300, 7), (2, 8, 1)])
+def test_suppress(spark, seed, span, block):
+    r = random.Random(seed)
+    rows = [(r.choice([1, 2, 3, None]), k, r.randrange(span), r.randrange(span), r.randrange(12), r.randrange(12), r.randrange(20)) for k in range(700)]
+    df = spark.createDataFrame(rows, "g bigint, k bigint, x bigint, y bigint, w int, h int, score int").repartition(3)
+    got = O.suppress(df, group="g", key="k", limit=0.3, block_rows=block).collect()
+    assert sorted((tuple(x) for x in got), key=str) == kept_in_order(rows, 0.3)
+    assert O.suppress(df.limit(0), group="g", key="k").collect() == []
+
+
+def test_suppress_takes_a_frame_of_any_size(spark):
+    df = spark.range(60_000).selectExpr("id % 2 as g", "id as k", "(id * 7) % 90 as x", "(id * 13) % 80 as y", "20 + id % 51 as w", "15 + id % 23 as h", "(id * 31) % 101 as score")
+    got = O.suppress(df, group="g", key="k", limit=0.3).collect()
+    assert sorted(map(tuple, got), key=str) == kept_in_order([tuple(x) for x in df.collect()], 0.3)
